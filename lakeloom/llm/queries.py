@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality
+from . import lm, packing, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -24,6 +24,13 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op5_quality_classifier": op5_quality_classifier}
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir)
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
+    held = F.coalesce(fold, F.lit(False))
+    return lm.score(docs.select("doc_id", held.alias("held_out"), "text"), docs.where(~fold))
+
+
+QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op5_quality_classifier": op5_quality_classifier, "op10_lm_scoring": op10_lm_scoring}
 ORACLES: dict[str, str] = {}
 PIPELINE_STAGES: list = []
