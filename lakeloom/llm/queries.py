@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lm, packing, quality
+from . import fingerprint, lm, media, packing, quality, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -31,6 +31,23 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(docs.select("doc_id", held.alias("held_out"), "text"), docs.where(~fold))
 
 
-QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op5_quality_classifier": op5_quality_classifier, "op10_lm_scoring": op10_lm_scoring}
+def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.against_next(_table(spark, sf_dir))
+
+
+def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digest = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return media.audio(_table(spark, sf_dir).select("doc_id", "text"), "text", digest)
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    docs = _table(spark, sf_dir).select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    shards = 40
+    out = sharding.reshard(docs, shards, F.pmod("text_crc32", F.lit(shards)).cast("int"), F.col("size"), F.shiftright("text_crc32", 8))
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op5_quality_classifier": op5_quality_classifier, "op10_lm_scoring": op10_lm_scoring, "op3_document_fingerprints": op3_document_fingerprints, "op8_media_columns": op8_media_columns, "op9_sharding": op9_sharding}
 ORACLES: dict[str, str] = {}
 PIPELINE_STAGES: list = []
