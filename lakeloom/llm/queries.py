@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, lm, media, packing, quality, sharding
+from . import fingerprint, lm, media, mixing, packing, quality, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -31,6 +31,12 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(docs.select("doc_id", held.alias("held_out"), "text"), docs.where(~fold))
 
 
+def op2_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = mixing.mix(_table(spark, sf_dir), keep_undrawn=True)
+    by = blocks.groupBy("key", "place", "row", "size", "source_size", "target").agg(F.coalesce(F.sum("words"), F.lit(0)).alias("taken"))
+    return by.select("row.doc_id", "size", "source_size", "target", "taken")
+
+
 def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.against_next(_table(spark, sf_dir))
 
@@ -48,6 +54,6 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op5_quality_classifier": op5_quality_classifier, "op10_lm_scoring": op10_lm_scoring, "op3_document_fingerprints": op3_document_fingerprints, "op8_media_columns": op8_media_columns, "op9_sharding": op9_sharding}
+QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op5_quality_classifier": op5_quality_classifier, "op10_lm_scoring": op10_lm_scoring, "op2_mixing_sources": op2_mixing_sources, "op3_document_fingerprints": op3_document_fingerprints, "op8_media_columns": op8_media_columns, "op9_sharding": op9_sharding}
 ORACLES: dict[str, str] = {}
 PIPELINE_STAGES: list = []
