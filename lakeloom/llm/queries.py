@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, lm, media, mixing, packing, quality, sharding
+from . import fingerprint, jaccard, lm, media, mixing, packing, quality, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -41,6 +41,10 @@ def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.against_next(_table(spark, sf_dir))
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(_table(spark, sf_dir)).select("doc_id", "class_id", "n_links")
+
+
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     digest = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
     return media.audio(_table(spark, sf_dir).select("doc_id", "text"), "text", digest)
@@ -54,6 +58,6 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op5_quality_classifier": op5_quality_classifier, "op10_lm_scoring": op10_lm_scoring, "op2_mixing_sources": op2_mixing_sources, "op3_document_fingerprints": op3_document_fingerprints, "op8_media_columns": op8_media_columns, "op9_sharding": op9_sharding}
+QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op5_quality_classifier": op5_quality_classifier, "op10_lm_scoring": op10_lm_scoring, "op2_mixing_sources": op2_mixing_sources, "op3_document_fingerprints": op3_document_fingerprints, "op7_ngram_jaccard_join": op7_ngram_jaccard_join, "op8_media_columns": op8_media_columns, "op9_sharding": op9_sharding}
 ORACLES: dict[str, str] = {}
 PIPELINE_STAGES: list = []
