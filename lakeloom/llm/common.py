@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -41,13 +42,19 @@ def _clean() -> None:
 atexit.register(_clean)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read back: lineage ends here, and a lost executor costs only a reread."""
+def stored(df: DataFrame, release: bool = False) -> DataFrame:
+    """df written to the shared folder and read back: lineage ends here, and a lost executor costs only a reread. With release,
+    Spark is made to drop the shuffle files that only led here."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lakeloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if release:
+        del df
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+    return out
 
 
 def batched(df: DataFrame) -> DataFrame:
