@@ -25,7 +25,7 @@ from . import common
 
 WEIGHTS = (5, 2, 1)
 #: Documents in a hash bucket and blocks in a shard, about.
-BUCKET_ROWS, SHARD_BLOCKS = 16384, 8192
+BUCKET_ROWS, SHARD_BLOCKS = 2048, 8192
 WORD = r"[^\x20\x09-\x0D]+"
 
 
