@@ -27,6 +27,8 @@ WIDTHS = (3, 4)
 #: Labelled rows that one training reads at most, picked by a hash of the id.
 TRAIN_ROWS = 6000
 DIMENSION, EPOCHS, RATE = 8, 6, 0.4
+#: Updates that one training makes at least; few rows are gone through more often.
+STEPS = 6000
 
 _AGAIN = np.uint64(0xB5297A4D3C6EF372)
 
@@ -77,8 +79,9 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 7) -> tupl
         return np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share)))
     vectors = rng.uniform(-1 / DIMENSION, 1 / DIMENSION, (BUCKETS, DIMENSION)).astype(np.float32)
     out, bias = np.zeros((2, DIMENSION), np.float32), np.log(np.array([1 - y.mean(), y.mean()]))
-    steps, step = EPOCHS * len(rows), 0
-    for _ in range(EPOCHS):
+    epochs = max(EPOCHS, -(-STEPS // len(rows)))
+    steps, step = epochs * len(rows), 0
+    for _ in range(epochs):
         for i in rng.permutation(len(rows)):
             found, share, label = rows[i]
             rate = RATE * (1 - step / steps)

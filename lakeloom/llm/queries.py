@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, jaccard, lm, media, mixing, packing, quality, sharding, substring
+from . import fingerprint, jaccard, licences, lm, media, mixing, packing, quality, sharding, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -41,6 +41,10 @@ def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.against_next(_table(spark, sf_dir))
 
 
+def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.by_document(_table(spark, sf_dir))
+
+
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeats(_table(spark, sf_dir))
 
@@ -62,6 +66,5 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op5_quality_classifier": op5_quality_classifier, "op10_lm_scoring": op10_lm_scoring, "op2_mixing_sources": op2_mixing_sources, "op3_document_fingerprints": op3_document_fingerprints, "op6_suffix_array_dedup": op6_suffix_array_dedup, "op7_ngram_jaccard_join": op7_ngram_jaccard_join, "op8_media_columns": op8_media_columns, "op9_sharding": op9_sharding}
+QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op5_quality_classifier": op5_quality_classifier, "op10_lm_scoring": op10_lm_scoring, "op2_mixing_sources": op2_mixing_sources, "op3_document_fingerprints": op3_document_fingerprints, "op4_license_scans": op4_license_scans, "op6_suffix_array_dedup": op6_suffix_array_dedup, "op7_ngram_jaccard_join": op7_ngram_jaccard_join, "op8_media_columns": op8_media_columns, "op9_sharding": op9_sharding}
 ORACLES: dict[str, str] = {}
-PIPELINE_STAGES: list = []
