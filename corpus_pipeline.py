@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lakeloom.llm.queries import PIPELINE_STAGES as STAGES
+from lakeloom.llm.stages import STAGES
 
 #: Learned models and packing are beyond SQL; the stages are tested against brute force.
 ORACLE_SQL = None
