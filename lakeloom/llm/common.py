@@ -140,7 +140,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(column: pa.Array, most: int = 1 << 22):
+def slices(column: pa.Array, most: int = 1 << 20):
     """(first row, bytes, bounds) of runs of rows with about `most` bytes; a longer row comes alone."""
     raw, off = buffers(column)
     i = 0
