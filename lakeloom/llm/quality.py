@@ -25,7 +25,7 @@ from . import common
 BUCKETS = 1 << 18
 WIDTHS = (3, 4)
 #: Labelled rows that one training reads at most, picked by a hash of the id.
-TRAIN_ROWS = 6000
+TRAIN_ROWS = 3000
 DIMENSION, EPOCHS, RATE = 8, 6, 0.4
 #: Updates that one training makes at least; few rows are gone through more often.
 STEPS = 6000
@@ -64,14 +64,14 @@ def features(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def bag(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct buckets of one text and their shares."""
+    """Distinct buckets of one text and how often each occurs."""
     bucket, _ = features(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
     found, n = np.unique(bucket, return_counts=True)
-    return found, n / max(1, len(bucket))
+    return found, n
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 7) -> tuple[np.ndarray, float]:
-    """Learns from (buckets, shares, label). Gives a number per bucket and the bias; their mean and sum is the log-odds of label 1."""
+    """Learns from (buckets, times, label). Gives a number per bucket and the bias; their mean and sum is the log-odds of label 1."""
     rng = np.random.default_rng(seed)
     y = np.array([label for _, _, label in rows])
     if not len(y) or y.min() == y.max():
@@ -83,7 +83,8 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 7) -> tupl
     steps, step = epochs * len(rows), 0
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
-            found, share, label = rows[i]
+            found, times, label = rows[i]
+            share = times / np.float32(max(1, int(times.sum())))
             rate = RATE * (1 - step / steps)
             step += 1
             v = vectors[found]
@@ -114,11 +115,11 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", most: int =
     def bags(batches):
         for batch in batches:
             found = [bag((t or "").encode()) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([f.astype("<i4").tobytes() for f, _ in found], pa.binary()), pa.array([s.astype("<f4").tobytes() for _, s in found], pa.binary()), batch.column("label")], ["found", "share", "label"])
+            yield pa.RecordBatch.from_arrays([pa.array([f.astype("<i4").tobytes() for f, _ in found], pa.binary()), pa.array([np.minimum(n, 65535).astype("<u2").tobytes() for _, n in found], pa.binary()), batch.column("label")], ["found", "times", "label"])
 
-    rows = common.batched(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "label")).mapInArrow(bags, "found binary, share binary, label int").collect()
+    rows = common.batched(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "label")).mapInArrow(bags, "found binary, times binary, label int").collect()
     rows.sort(key=lambda r: zlib.crc32(r.found))
-    return train([(np.frombuffer(r.found, "<i4"), np.frombuffer(r.share, "<f4"), r.label) for r in rows])
+    return train([(np.frombuffer(r.found, "<i4"), np.frombuffer(r.times, "<u2"), r.label) for r in rows])
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
