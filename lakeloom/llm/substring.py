@@ -40,8 +40,8 @@ HOT, LOCAL_HOT = 2048, 256
 HELD = 1 << 20
 #: Segments that one batch sorts, about.
 BATCH = 8192
-#: Rows (documents with spans) that are broadcast at most.
-BROADCAST_ROWS = 500_000
+#: Bytes of documents' spans that are broadcast at most; beyond that they are joined by a shuffle.
+BROADCAST_BYTES = 1 << 26
 _POSITION = np.uint64(30)
 _SECOND = np.random.default_rng(77).integers(0, 2**64, 256, dtype=np.uint64)
 #: Column types of packed segments: anchor, hash, document, start, windows, the anchor's place.
@@ -295,7 +295,7 @@ def repeated_windows(anchor: np.ndarray, place: np.ndarray, doc: np.ndarray, sta
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """docs (text, _ord) to (ord, spans: array of (a, b)), for documents with repeated bytes."""
+    """docs (text, _ord) to (ord, spans: merged intervals as pairs of 64-bit numbers), for documents with repeated bytes."""
     found = shared_segments(docs)
     parts = _fetched(docs, found)
 
@@ -321,13 +321,23 @@ def spans(docs: DataFrame) -> DataFrame:
     least = windows.groupBy("w1", "w2").agg(F.min(F.struct("ord", "a")).alias("least"), F.count("*").alias("n")).where("n > 1")
     hot = windows.join(least, ["w1", "w2"]).where(F.struct("ord", "a") != F.col("least")).select("ord", "a", (F.col("a") + WINDOW).alias("b"))
     every = found.where("kind = 0").select("ord", "a", "b").unionByName(sorted_).unionByName(hot)
-    return common.stored(every.groupBy("ord").agg(F.collect_list(F.struct("a", "b")).alias("spans")), release=True)
+    per = every.groupBy("ord").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
+
+    def merge(batches):
+        for batch in batches:
+            a, b = (batch.column(i).flatten().to_numpy() for i in (1, 2))
+            doc, a, b = _spans(np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(batch.column(1).offsets))), a, b)
+            ends = np.searchsorted(doc, np.arange(batch.num_rows + 1))
+            pairs = np.stack([a, b], 1).astype("<i8")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pairs[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], ["ord", "spans"])
+
+    return common.stored(common.batched(per).mapInArrow(merge, "ord long, spans binary"), release=True)
 
 
 def _cut(docs: DataFrame, fields: list[StructField], digest) -> DataFrame:
     """digest(row values without text, text bytes, spans) for each document; docs must have _ord."""
     found = spans(docs)
-    if found.count() <= BROADCAST_ROWS:
+    if (found.agg(F.sum(F.length("spans") + 48)).first()[0] or 0) <= BROADCAST_BYTES:
         found = F.broadcast(found)
     names = [f.name for f in docs.schema.fields if f.name not in ("text", "_ord")]
     joined = docs.join(found, F.col("_ord") == F.col("ord"), "left").select("text", "spans", *(F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(names)))
@@ -339,12 +349,7 @@ def _cut(docs: DataFrame, fields: list[StructField], digest) -> DataFrame:
             out = []
             for i, x in enumerate(text.to_pylist()):
                 data = (x or "").encode()
-                s = found_[i].as_py()
-                if s:
-                    _, a, b = _spans(np.zeros(len(s), np.int64), np.array([v["a"] for v in s]), np.array([v["b"] for v in s]))
-                    out.append(digest(data, list(zip(a.tolist(), b.tolist(), strict=True))))
-                else:
-                    out.append(digest(data, []))
+                out.append(digest(data, np.frombuffer(found_[i].as_py() or b"", "<i8").reshape(-1, 2).tolist()))
             yield pa.RecordBatch.from_arrays([*rest, *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds.types, strict=True))], [*(f"c{i}" for i in range(len(names))), *kinds.names]) if out else pa.RecordBatch.from_arrays([*rest, *(pa.array([], t) for t in kinds.types)], [*(f"c{i}" for i in range(len(names))), *kinds.names])
 
     schema = StructType([*(StructField(f"c{i}", docs.schema[n].dataType) for i, n in enumerate(names)), *fields])
@@ -355,7 +360,7 @@ def _arrow(field: StructField):
     return {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[field.dataType.typeName()]
 
 
-def _kept(data: bytes, cuts: list[tuple[int, int]]) -> bytes:
+def _kept(data: bytes, cuts: list[list[int]]) -> bytes:
     if not cuts:
         return data
     edge = [0, *(x for c in cuts for x in c), len(data)]
