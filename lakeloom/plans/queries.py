@@ -1,8 +1,524 @@
-"""Registered queries of the catalog engine and the SQL that each must equal."""
+"""Registered queries of the catalog engine and the SQL that each must equal. Every query makes a catalog in a folder of its own, brings it
+into the state that it is about, and returns rows that were read through the catalog."""
+
+from __future__ import annotations
+
+import tempfile
+import time
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lakeloom.errors import CommitConflict
+from lakeloom.functions import paths, types
+from lakeloom.functions.keys import Keys
+from lakeloom.operators import conflicts, merge
+from lakeloom.operators.catalog import CASCADE, Catalog, connect
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None):
+    """Registers a function under its name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _catalog(spark: SparkSession, sf_dir: str, *tables: str) -> Catalog:
+    catalog = connect(spark, tempfile.mkdtemp(prefix="lakeloom-q-"), create=True)
+    with catalog.transaction() as txn:
+        txn.create_namespace("tpch")
+        for t in tables:
+            txn.register_table("tpch", t, f"{sf_dir}/{t}.parquet")
+    return catalog
+
+
+def _copied(spark: SparkSession, sf_dir: str, table: str, where: str = "true", partition_by=(), sort_by=()) -> Catalog:
+    """A catalog with an own copy of a table, tpch.t."""
+    catalog = _catalog(spark, sf_dir)
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet").where(where)
+    with catalog.transaction() as txn:
+        txn.create_table("tpch", "t", df.schema, partition_by, sort_by)
+        txn.append("tpch.t", df)
+    return catalog
+
+
+_SUMMARY = """
+  select l_returnflag, l_linestatus, {round}(sum(l_quantity), 2) as sum_qty, {round}(sum(l_extendedprice * (1 - l_discount)), 2) as sum_disc_price, count(*) as count_order
+  from {table} where l_shipdate <= timestamp '1998-09-02 00:00:00' group by l_returnflag, l_linestatus
+"""
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _catalog(spark, sf_dir, "lineitem").table("tpch.lineitem", where="l_shipdate <= timestamp_ntz '1998-09-02 00:00:00'")
+    return lines.groupBy("l_returnflag", "l_linestatus").agg(
+        F.round(F.sum("l_quantity"), 2).alias("sum_qty"),
+        F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("sum_disc_price"),
+        F.count("*").alias("count_order"),
+    )
+
+
+QUERIES["pricing_summary"] = flagship
+ORACLES["pricing_summary"] = _SUMMARY.format(round="round", table="lineitem")
+
+
+# ---- scans and changes of rows
+
+
+@query("select l_orderkey, l_linenumber, l_extendedprice from lineitem where l_quantity > 45 and l_returnflag = 'R'")
+def scan_project_filter(spark, sf_dir):
+    return _catalog(spark, sf_dir, "lineitem").table("tpch.lineitem", ["l_orderkey", "l_linenumber", "l_extendedprice"], "l_quantity > 45 and l_returnflag = 'R'")
+
+
+@query("select o_orderkey, o_totalprice from orders where o_orderkey between 100 and 400")
+def scan_file_skipping(spark, sf_dir):
+    catalog = _copied(spark, sf_dir, "orders", sort_by=["o_orderkey"])
+    return catalog.table("tpch.t", ["o_orderkey", "o_totalprice"], "o_orderkey between 100 and 400")
+
+
+@query("select c_custkey, c_name from customer where c_custkey % 2 = 0 union all select c_custkey, c_name from customer where c_custkey % 3 = 0")
+def append_then_scan(spark, sf_dir):
+    catalog = _copied(spark, sf_dir, "customer", "c_custkey % 2 = 0")
+    catalog.append("tpch.t", spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 3 = 0"))
+    return catalog.table("tpch.t", ["c_custkey", "c_name"])
+
+
+@query("select o_orderkey, case when o_orderstatus = 'F' then 'DONE' else o_orderpriority end as o_orderpriority from orders")
+def overwrite_update(spark, sf_dir):
+    catalog = _copied(spark, sf_dir, "orders")
+    catalog.update("tpch.t", {"o_orderpriority": "'DONE'"}, "o_orderstatus = 'F'")
+    return catalog.table("tpch.t", ["o_orderkey", "o_orderpriority"])
+
+
+@query("select s_suppkey, s_name from supplier where not coalesce(s_acctbal > 0 and s_nationkey < 20, false)")
+def delete_where(spark, sf_dir):
+    catalog = _copied(spark, sf_dir, "supplier")
+    catalog.delete("tpch.t", "s_acctbal > 0 and s_nationkey < 20")
+    return catalog.table("tpch.t", ["s_suppkey", "s_name"])
+
+
+@query("select p_partkey, p_brand from part where p_size > 25 union all select p_partkey, 'NEW' as p_brand from part where p_size <= 25 and p_partkey % 5 = 0")
+def overwrite_where(spark, sf_dir):
+    catalog = _copied(spark, sf_dir, "part")
+    new = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_size <= 25 and p_partkey % 5 = 0").withColumn("p_brand", F.lit("NEW"))
+    catalog.overwrite("tpch.t", new, "p_size <= 25")
+    return catalog.table("tpch.t", ["p_partkey", "p_brand"])
+
+
+@query("select n_nationkey, n_name, cast(null as varchar) as remark from nation union all select n_nationkey + 100, n_name, 'new' from nation")
+def add_column_nulls(spark, sf_dir):
+    catalog = _copied(spark, sf_dir, "nation")
+    catalog.add_columns("tpch", "t", "remark string")
+    catalog.append("tpch.t", spark.read.parquet(f"{sf_dir}/nation.parquet").withColumn("n_nationkey", F.col("n_nationkey") + 100).withColumn("remark", F.lit("new")))
+    return catalog.table("tpch.t", ["n_nationkey", "n_name", "remark"])
+
+
+@query("select n_nationkey, n_regionkey from nation")
+def drop_column(spark, sf_dir):
+    catalog = _copied(spark, sf_dir, "nation")
+    catalog.drop_columns("tpch", "t", "n_name")
+    return catalog.table("tpch.t")
+
+
+@query("select l_returnflag, count(*) as n from lineitem where l_returnflag <> 'A' group by l_returnflag")
+def partitioned_write(spark, sf_dir):
+    catalog = _copied(spark, sf_dir, "lineitem", partition_by=["l_returnflag"])
+    return catalog.table("tpch.t", where="l_returnflag <> 'A'").groupBy("l_returnflag").agg(F.count("*").alias("n"))
+
+
+@query("""select '{"o_orderstatus": "' || o_orderstatus || '"}' as "partition", cast(count(*) as bigint) as record_count, min(o_orderstatus) as low, max(o_orderstatus) as high from orders group by o_orderstatus""")
+def files_metadata_table(spark, sf_dir):
+    found = _copied(spark, sf_dir, "orders", partition_by=["o_orderstatus"]).table("tpch.t.files")
+    low, high = (F.get_json_object(c, "$.o_orderstatus") for c in ("lower_bounds", "upper_bounds"))
+    return found.groupBy("partition").agg(F.sum("record_count").alias("record_count"), F.min(low).alias("low"), F.max(high).alias("high"))
+
+
+@query("""select '{"o_orderstatus": "' || o_orderstatus || '"}' as "partition", cast(count(*) as bigint) as record_count from orders group by o_orderstatus""")
+def partitions_metadata_table(spark, sf_dir):
+    return _copied(spark, sf_dir, "orders", partition_by=["o_orderstatus"]).table("tpch.t.partitions").select("partition", "record_count")
+
+
+@query("select * from (values (1, cast(null as bigint), true), (2, 1, true), (3, 2, true)) t(snapshot_id, parent_id, is_current_ancestor)")
+def history_table(spark, sf_dir):
+    catalog = _copied(spark, sf_dir, "region")
+    catalog.append("tpch.t", spark.read.parquet(f"{sf_dir}/region.parquet"))
+    catalog.delete("tpch.t", "r_regionkey = 0")
+    return catalog.table("tpch.t.history").select("snapshot_id", "parent_id", "is_current_ancestor")
+
+
+@query("select * from (values (1, 'append'), (2, 'append'), (3, 'delete')) t(snapshot_id, operation)")
+def snapshots_table(spark, sf_dir):
+    catalog = _copied(spark, sf_dir, "region")
+    catalog.append("tpch.t", spark.read.parquet(f"{sf_dir}/region.parquet"))
+    catalog.delete("tpch.t", "r_regionkey = 0")
+    return catalog.table("tpch.t.snapshots").select("snapshot_id", "operation")
+
+
+# ---- versions
+
+
+@query("select c_custkey, c_acctbal from customer")
+def time_travel_version(spark, sf_dir):
+    catalog = _copied(spark, sf_dir, "customer")
+    before = catalog.latest().number
+    catalog.delete("tpch.t", "c_custkey % 2 = 0")
+    return catalog.at(version=before).table("tpch.t", ["c_custkey", "c_acctbal"])
+
+
+@query("select c_custkey, c_acctbal from customer")
+def time_travel_timestamp(spark, sf_dir):
+    catalog = _copied(spark, sf_dir, "customer")
+    then = catalog.latest().created_at
+    time.sleep(0.01)
+    catalog.update("tpch.t", {"c_acctbal": "0"})
+    return catalog.at(timestamp_millis=then).table("tpch.t", ["c_custkey", "c_acctbal"])
+
+
+@query("select n_nationkey, n_name from nation")
+def rollback_version(spark, sf_dir):
+    catalog = _copied(spark, sf_dir, "nation")
+    before = catalog.latest().number
+    catalog.drop_table("tpch", "t")
+    catalog.rollback_to(before)
+    return catalog.table("tpch.t", ["n_nationkey", "n_name"])
+
+
+@query("select s_suppkey, s_acctbal from supplier")
+def snapshot_export_full(spark, sf_dir):
+    catalog = _copied(spark, sf_dir, "supplier")
+    target = catalog.export("copy", tempfile.mkdtemp(prefix="lakeloom-q-"))
+    catalog.delete("tpch.t")
+    catalog.expire()
+    catalog.collect_garbage()
+    return connect(spark, target).table("tpch.t", ["s_suppkey", "s_acctbal"])
+
+
+@query("select s_suppkey, s_acctbal from supplier")
+def snapshot_export_minimal(spark, sf_dir):
+    catalog = _copied(spark, sf_dir, "supplier")
+    return connect(spark, catalog.export("copy", tempfile.mkdtemp(prefix="lakeloom-q-"), minimal=True)).table("tpch.t", ["s_suppkey", "s_acctbal"])
+
+
+@query("""with recursive chain(version, previous) as (select cast(4 as bigint), cast(3 as bigint) union all select previous, case when previous > 0 then previous - 1 end from chain where previous is not null)
+  select version, 'vn/' || reverse(lpad(bin(version), 64, '0')) as path, case when previous is not null then 'vn/' || reverse(lpad(bin(previous), 64, '0')) end as previous_root from chain""")
+def version_chain(spark, sf_dir):
+    catalog = _copied(spark, sf_dir, "region")
+    for k in range(2):
+        catalog.alter_namespace("tpch", set={"k": str(k)})
+    return catalog.versions().select("version", "path", "previous_root")
+
+
+@query("select cast(count(*) as bigint) as orders, cast(count(distinct o_custkey) as bigint) as customers from orders join customer on o_custkey = c_custkey where c_mktsegment = 'BUILDING'")
+def multi_table_atomic_commit(spark, sf_dir):
+    catalog = _catalog(spark, sf_dir)
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    with catalog.transaction() as txn:
+        for t in ("orders", "customer"):
+            txn.create_table("tpch", t, read(t).schema)
+            txn.append(f"tpch.{t}", read(t))
+    both = catalog.table("tpch.orders").join(catalog.table("tpch.customer", where="c_mktsegment = 'BUILDING'"), F.col("o_custkey") == F.col("c_custkey"))
+    return both.agg(F.count("*").alias("orders"), F.countDistinct("o_custkey").alias("customers"))
+
+
+@query("select p_partkey, p_name from part where p_partkey % 3 <> 2")
+def rebase_concurrent_append(spark, sf_dir):
+    catalog = _copied(spark, sf_dir, "part", "p_partkey % 3 = 0")
+    mine, other = catalog.begin(), catalog.begin()
+    half = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey % 3 = 1")
+    mine.append("tpch.t", half.where("p_partkey % 2 = 0"))
+    other.append("tpch.t", half.where("p_partkey % 2 = 1"))
+    other.commit()
+    mine.commit()
+    return catalog.table("tpch.t", ["p_partkey", "p_name"])
+
+
+@query("select n_nationkey, n_name from nation where n_nationkey <> 3")
+def conflicting_commit_is_refused(spark, sf_dir):
+    catalog = _copied(spark, sf_dir, "nation")
+    mine, other = catalog.begin(), catalog.begin()
+    mine.update("tpch.t", {"n_name": "'lost'"}, "n_nationkey = 4")
+    other.delete("tpch.t", "n_nationkey = 3")
+    other.commit()
+    try:
+        mine.commit()
+    except CommitConflict:
+        return catalog.table("tpch.t", ["n_nationkey", "n_name"])
+    raise AssertionError("a change was lost")
+
+
+def _matrix_sql() -> str:
+    # the rules as sets of types, joined; all other pairs are none
+    kinds = ", ".join(f"('{a}')" for a in conflicts.ACTIONS)
+    return f"""
+      with kinds(t) as (values {kinds})
+      select c.t as committed_type, p.t as pending_type, case
+        when c.t = p.t and c.t in ('NAMESPACE_CREATE', 'NAMESPACE_ALTER', 'TABLE_CREATE') then 'unresolvable'
+        when c.t in ('NAMESPACE_ALTER_SET_PROPERTIES', 'NAMESPACE_ALTER_UNSET_PROPERTIES') and p.t like 'NAMESPACE_ALTER%' then 'unresolvable'
+        when c.t like 'TABLE_ALTER%' and p.t like 'TABLE_ALTER%' then 'unresolvable'
+        when c.t = 'TABLE_INSERT' and (p.t like 'TABLE_ALTER%' or p.t in ('TABLE_INSERT', 'TABLE_UPDATE', 'TABLE_DELETE')) then 'resolvable'
+        when c.t in ('TABLE_UPDATE', 'TABLE_DROP') and (p.t like 'TABLE_ALTER%' or p.t in ('TABLE_INSERT', 'TABLE_UPDATE', 'TABLE_DELETE')) then 'unresolvable'
+        when c.t = 'TABLE_DELETE' and (p.t like 'TABLE_ALTER%' or p.t = 'TABLE_INSERT') then 'resolvable'
+        when c.t = 'VIEW_DROP' and p.t = 'VIEW_REPLACE' then 'unresolvable' else 'none' end as verdict
+      from kinds c cross join kinds p
+    """
+
+
+@query(_matrix_sql())
+def conflict_matrix(spark, sf_dir):
+    return conflicts.matrix_frame(spark)
+
+
+@query("""select 'o' || (o_orderkey % 50) as object_key, 'TABLE_UPDATE' as committed_type, 'TABLE_INSERT' as pending_type, 'unresolvable' as verdict from orders
+  where o_orderkey % 50 in (select l_orderkey % 50 from lineitem where l_quantity < 2) group by 1""")
+def conflict_analysis(spark, sf_dir):
+    committed = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.concat(F.lit("o"), (F.col("o_orderkey") % 50).cast("string")).alias("object_key"), F.lit("TABLE_UPDATE").alias("type"))
+    pending = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_quantity < 2").select(F.concat(F.lit("o"), (F.col("l_orderkey") % 50).cast("string")).alias("object_key"), F.lit("TABLE_INSERT").alias("type"))
+    return conflicts.analyse(committed, pending, strict=False)
+
+
+# ---- objects
+
+
+@query("select * from (values ('a'), ('b'), ('tpch')) t(namespace)")
+def show_namespaces(spark, sf_dir):
+    catalog = _catalog(spark, sf_dir)
+    catalog.create_namespace("b")
+    catalog.create_namespace("a")
+    return catalog.sql("show databases").where("namespace <> 'sys'")
+
+
+@query("select * from (values ('nation'), ('region')) t(name)")
+def show_tables(spark, sf_dir):
+    return _catalog(spark, sf_dir, "region", "nation").sql("show tables in tpch")
+
+
+@query("select * from (values ('v1'), ('v2')) t(name)")
+def show_views(spark, sf_dir):
+    catalog = _catalog(spark, sf_dir, "region")
+    for v in ("v2", "v1"):
+        catalog.sql(f"create view tpch.{v} as select * from tpch.region")
+    return catalog.sql("show views in tpch")
+
+
+@query("select * from (values ('kept', 'table', 'n')) t(namespace, object_type, name)")
+def drop_cascade(spark, sf_dir):
+    catalog = _catalog(spark, sf_dir, "region", "nation")
+    catalog.create_view("tpch", "v", "select * from tpch.region")
+    catalog.create_namespace("kept")
+    catalog.register_table("kept", "n", f"{sf_dir}/nation.parquet")
+    catalog.drop_namespace("tpch", CASCADE)
+    return catalog.objects().where("object_type <> 'namespace'").select("namespace", "object_type", "name")
+
+
+@query("select * from (values ('nation')) t(name)")
+def tombstone_hidden(spark, sf_dir):
+    catalog = _catalog(spark, sf_dir, "region", "nation")
+    catalog.drop_table("tpch", "region")
+    return catalog.sql("show tables in tpch")
+
+
+@query("select * from (values ('a', '1'), ('c', '4')) t(key, value)")
+def namespace_properties(spark, sf_dir):
+    catalog = _catalog(spark, sf_dir)
+    catalog.create_namespace("p", {"a": "1", "b": "2", "c": "3"})
+    catalog.alter_namespace("p", set={"c": "4"})
+    catalog.alter_namespace("p", unset=["b"])
+    return spark.createDataFrame(sorted(catalog.describe_namespace("p").items()), "key string, value string")
+
+
+@query("select n_name, 'C===' || rpad(r_name, 16, ' ') || rpad(n_name, 12, ' ') as table_key, 'B===' || rpad(r_name, 16, ' ') as namespace_key from nation join region on n_regionkey = r_regionkey")
+def object_keys(spark, sf_dir):
+    k = Keys(namespace=16, table=12)
+    both = spark.read.parquet(f"{sf_dir}/nation.parquet").join(spark.read.parquet(f"{sf_dir}/region.parquet"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return both.select("n_name", k.column("table", F.col("r_name"), F.col("n_name")).alias("table_key"), k.column("namespace", F.col("r_name")).alias("namespace_key"))
+
+
+@query("select 'table' as kind, r_name as namespace, n_name as name from nation join region on n_regionkey = r_regionkey")
+def decode_keys(spark, sf_dir):
+    k, key = Keys(namespace=16, table=12), F.col("table_key")
+    return object_keys(spark, sf_dir).select(k.kind_column(key).alias("kind"), k.namespace_column(key).alias("namespace"), k.name_column(key).alias("name"))
+
+
+@query("select o_orderkey as version, 'vn/' || reverse(lpad(bin(o_orderkey), 64, '0')) as path from orders")
+def version_paths(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("version"), paths.root_column(F.col("o_orderkey")).alias("path"))
+
+
+@query("select o_orderkey as version, 'vn/' || reverse(lpad(bin(o_orderkey), 64, '0')) as path, o_orderkey as back from orders")
+def version_paths_inverse(spark, sf_dir):
+    return version_paths(spark, sf_dir).withColumn("back", paths.version_column(F.col("path")))
+
+
+# ---- the ordered map
+
+_ENTRIES = "select 'k' || lpad(cast(o_orderkey as varchar), 10, '0') as key, o_orderpriority as value from orders where o_orderkey % 7 < 5"
+_CHANGES = "select 'k' || lpad(cast(o_orderkey as varchar), 10, '0') as key, case when o_orderkey % 11 > 0 then 'new ' || o_orderstatus end as value from orders where o_orderkey % 3 = 0"
+
+
+def _entries(spark, sf_dir) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey % 7 < 5").select(F.concat(F.lit("k"), F.lpad(F.col("o_orderkey").cast("string"), 10, "0")).alias("key"), F.col("o_orderpriority").alias("value"))
+
+
+def _changes(spark, sf_dir) -> DataFrame:
+    new = F.when(F.col("o_orderkey") % 11 > 0, F.concat(F.lit("new "), "o_orderstatus"))
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey % 3 = 0").select(F.concat(F.lit("k"), F.lpad(F.col("o_orderkey").cast("string"), 10, "0")).alias("key"), new.alias("value"))
+
+
+@query(f"with e as ({_ENTRIES}), c as ({_CHANGES}) select key, value from (select * from c union all select * from e where key not in (select key from c)) where value is not null")
+def merge_pending_over_persisted(spark, sf_dir):
+    return merge.live(merge.upsert(_entries(spark, sf_dir), _changes(spark, sf_dir)))
+
+
+@query("select r_name as key, cast(row_number() over (order by r_name) as integer) as position from region")
+def key_order_scan(spark, sf_dir):
+    catalog = _catalog(spark, sf_dir)
+    names = [r.r_name for r in spark.read.parquet(f"{sf_dir}/region.parquet").collect()]  # objects are made one by one
+    with catalog.transaction() as txn:
+        for n in sorted(names, reverse=True):
+            txn.create_namespace(n)
+    found = [n for n in catalog.show_namespaces() if n in names]
+    return spark.createDataFrame([(n, i + 1) for i, n in enumerate(found)], "key string, position int")
+
+
+@query("select c_nationkey as node, c_name as key, cast(rn as integer) as position, case when rn = 64 then 'pivot' when rn < 64 then 'left' else 'right' end as side from (select c_nationkey, c_name, row_number() over (partition by c_nationkey order by c_name) as rn from customer)")
+def split_pivot(spark, sf_dir):
+    entries = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_nationkey").alias("node"), F.col("c_name").alias("key"))
+    return merge.split(entries, 128, within=["node"]).select("node", "key", "position", "side")
+
+
+@query(f"with e as ({_ENTRIES}), t as (select distinct 'k' || lpad(cast(l_orderkey as varchar), 10, '0') || 'x' as target from lineitem) select target, max(e.key) as key from t left join e on e.key <= t.target group by target")
+def floor_lookup(spark, sf_dir):
+    targets = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.concat(F.lit("k"), F.lpad(F.col("l_orderkey").cast("string"), 10, "0"), F.lit("x")).alias("target")).distinct()
+    return merge.floor_lookup(_entries(spark, sf_dir), targets, "target", block=8).select("target", "key")
+
+
+@query(f"select key, value from ({_ENTRIES}) where starts_with(key, 'k00000001')")
+def prefix_scan(spark, sf_dir):
+    return merge.starting_with(_entries(spark, sf_dir), "k00000001")
+
+
+# ---- views
+
+
+@query("select r_name, cast(count(*) as bigint) as nations from nation join region on n_regionkey = r_regionkey group by r_name")
+def view_select(spark, sf_dir):
+    catalog = _catalog(spark, sf_dir, "nation", "region")
+    catalog.create_view("tpch", "pairs", "select r_name, n_name from nation join region on n_regionkey = r_regionkey")
+    catalog.create_view("tpch", "sizes", "select r_name, count(*) as nations from pairs group by r_name")
+    return catalog.view("tpch.sizes")
+
+
+@query("select n_name from nation where n_regionkey = 1")
+def view_replace(spark, sf_dir):
+    catalog = _catalog(spark, sf_dir, "nation")
+    catalog.create_view("tpch", "v", "select n_nationkey from nation")
+    catalog.create_view("tpch", "v", "select n_name from nation where n_regionkey = 1", replace=True)
+    return catalog.sql("select * from tpch.v")
+
+
+@query("select * from (values ('v', 'tpch.nation'), ('v', 'tpch.region')) t(view, reference)")
+def view_references(spark, sf_dir):
+    catalog = _catalog(spark, sf_dir, "nation", "region")
+    catalog.create_view("tpch", "v", "select n_name from nation where n_regionkey in (select r_regionkey from tpch.region)")
+    return spark.createDataFrame([("v", r) for r in catalog.describe_view("tpch", "v")["references"]], "view string, reference string")
+
+
+# ---- transactions across sessions, and SQL
+
+
+@query("select n_nationkey from nation union all select n_nationkey + 1000 from nation")
+def dist_txn_publish(spark, sf_dir):
+    catalog = _copied(spark, sf_dir, "nation")
+    txn = catalog.begin(id="audit")
+    txn.append("tpch.t", spark.read.parquet(f"{sf_dir}/nation.parquet").withColumn("n_nationkey", F.col("n_nationkey") + 1000))
+    txn.save()
+    other = connect(spark, str(catalog.storage.root))  # as another session
+    resumed = other.load_distributed("audit")
+    assert resumed.table("tpch.t").count() == 2 * other.table("tpch.t").count()
+    resumed.commit()
+    return other.table("tpch.t", ["n_nationkey"])
+
+
+@query("select r_regionkey, r_name from region union all select 77, 'x'")
+def sql_begin_commit(spark, sf_dir):
+    catalog = _copied(spark, sf_dir, "region")
+    for s in ("BEGIN TRANSACTION", "insert into tpch.t values (77, 'x')", "commit"):
+        catalog.sql(s)
+    return catalog.sql("select r_regionkey, r_name from tpch.t")
+
+
+@query("select r_regionkey, r_name from region")
+def sql_rollback(spark, sf_dir):
+    catalog = _copied(spark, sf_dir, "region")
+    for s in ("begin", "delete from tpch.t where r_regionkey > 1", "insert into tpch.t values (77, 'x')", "ROLLBACK TRANSACTION"):
+        catalog.sql(s)
+    return catalog.sql("select r_regionkey, r_name from tpch.t")
+
+
+@query("select o_orderkey, o_totalprice from orders")
+def sql_time_travel(spark, sf_dir):
+    catalog = _copied(spark, sf_dir, "orders")
+    at = catalog.latest().number
+    catalog.sql("delete from tpch.t where o_orderkey % 2 = 0")
+    return catalog.sql(f"select o_orderkey, o_totalprice from tpch.t version as of {at}")
+
+
+@query("select s_suppkey, case when s_nationkey = 5 then s_name || '!' else s_name end as s_name, s_acctbal from supplier where not coalesce(s_acctbal < 0, false)")
+def sql_update_delete(spark, sf_dir):
+    catalog = _copied(spark, sf_dir, "supplier")
+    catalog.sql("update tpch.t set s_name = concat(s_name, '!') where s_nationkey = 5")
+    catalog.sql("delete from tpch.t where s_acctbal < 0")
+    return catalog.sql("select s_suppkey, s_name, s_acctbal from tpch.t")
+
+
+@query("select n_name, cast(count(*) as bigint) as customers, round(sum(c_acctbal), 2) as balance from customer join nation on c_nationkey = n_nationkey where c_acctbal > (select avg(c_acctbal) from customer) group by n_name")
+def sql_join_subquery(spark, sf_dir):
+    catalog = _catalog(spark, sf_dir, "customer", "nation")
+    return catalog.sql("select n_name, count(*) as customers, round(sum(c_acctbal), 2) as balance from tpch.customer c join tpch.nation on c_nationkey = n_nationkey where c_acctbal > (select avg(c_acctbal) from tpch.customer) group by n_name")
+
+
+@query("select o_orderpriority, cast(count(*) as bigint) as n from orders group by o_orderpriority")
+def sql_create_table_as(spark, sf_dir):
+    catalog = _catalog(spark, sf_dir, "orders")
+    catalog.sql("create table tpch.sums as select o_orderpriority, count(*) as n from tpch.orders group by o_orderpriority")
+    return catalog.table("tpch.sums")
+
+
+@query("select * from (values ('BOOLEAN', 'boolean'), ('INT2', 'smallint'), ('INT4', 'int'), ('INT8', 'bigint'), ('FLOAT4', 'float'), ('FLOAT8', 'double'), ('VARCHAR', 'string'), ('DATE', 'date'), ('TIMESTAMP3', 'timestamp_ntz'), ('TIMESTAMP6', 'timestamp_ntz'), ('TIMESTAMP9', 'timestamp_ntz'), ('TIMESTAMPTZ3', 'timestamp'), ('TIMESTAMPTZ6', 'timestamp'), ('TIMESTAMPTZ9', 'timestamp'), ('BINARY', 'binary'), ('FIXED', 'binary'), ('DECIMAL', 'decimal(38,10)')) t(native, spark_type)")
+def schema_type_map(spark, sf_dir):
+    plain = [n for n in types.NAMES if not n.startswith("TIME") or n.startswith("TIMESTAMP")]
+    rows = [(n, types.to_spark({"name": "c", "type": n}).dataType.simpleString()) for n in plain if n not in ("STRUCT", "LIST", "MAP", "CHAR")]
+    return spark.createDataFrame(rows, "native string, spark_type string")
+
+
+@query("select * from (values ('data'), ('def'), ('meta'), ('vn')) t(folder)")
+def unreachable_files(spark, sf_dir):
+    catalog = _copied(spark, sf_dir, "region")
+    catalog.overwrite("tpch.t", spark.read.parquet(f"{sf_dir}/region.parquet"))
+    catalog.drop_table("tpch", "t")
+    return spark.createDataFrame([(p.split("/")[0],) for p in catalog.expire()], "folder string").distinct()
+
+
+@query("select 'table' as object_type, 'tpch' as namespace, t.name from (values ('lineitem'), ('nation'), ('orders')) t(name)")
+def catalog_nodes_source(spark, sf_dir):
+    from lakeloom.sources import nodes
+
+    catalog = _catalog(spark, sf_dir, "lineitem", "nation", "orders")
+    nodes.register(spark)
+    k, key = catalog.keys, F.col("key")
+    rows = spark.read.format("catalog_nodes").option("path", str(catalog.storage.root)).load().where(key.startswith(k.prefix("table", "tpch")))
+    return rows.select(k.kind_column(key).alias("object_type"), k.namespace_column(key).alias("namespace"), k.name_column(key).alias("name"))
 
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").limit(10)
+@query("select * from (values ('NAMESPACE_CREATE', 'tpch'), ('TABLE_CREATE', 't'), ('TABLE_INSERT', 't')) t(type, object)")
+def action_log(spark, sf_dir):
+    catalog = _copied(spark, sf_dir, "region")
+    both = catalog.at(version=1).actions().unionByName(catalog.at(version=2).actions())
+    return both.select("type", F.coalesce("name", "namespace").alias("object"))
