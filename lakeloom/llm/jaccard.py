@@ -3,7 +3,7 @@
 A text is the set of its runs of WIDTH words (words are runs of bytes that are not white space; a shorter text is one run). Texts with
 equal sets form a class and one of them, its representative, goes on. In each of RUNS runs a set takes each of its tokens
 with probability 1 / (similarity x size) by a hash that all sets share, and goes to the bucket of each token it took. Buckets of
-more than SMALL sets are split the same way again, by the path so far, up to DEPTH times. Two sets of similarity 0.8 meet in a
+more than SMALL sets are split the same way again, by the path so far, up to DEPTH times, unless most of what is in them is alike. Two sets of similarity 0.8 meet in a
 bucket at depth d with a chance of at least 0.63, 0.46, 0.37, 0.31, so after 20 runs all but 1 in 1700 of the pairs that lie
 just at the threshold, in a bucket that had to be split to the end, have met, and far fewer are missed above it or in smaller ones. Buckets are
 brute-forced by sketches (one-permutation minima), in blocks if large, into candidate components; within these all pairs are
@@ -30,6 +30,8 @@ WIDTH = 5
 OVER, UNDER = 4, 5
 RUNS, DEPTH, SMALL = 20, 4, 128
 SKETCH, LIKELY = 128, 0.65
+#: Members of a large bucket that are compared, and the mean similarity from which on it is not split: most of its pairs would meet again.
+PROBES, DENSE = 8, 0.4
 BLOCK = 256
 #: Rows (of some 30 bytes) that are broadcast at most; beyond that they are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
@@ -184,6 +186,17 @@ def buckets(docs: DataFrame, reps: DataFrame) -> DataFrame:
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(rid).astype(np.int64))], ["key", "rid"])
 
+    def alike(batches):
+        for batch in batches:
+            dense = []
+            for row in zip(*(batch.column(i + 1).to_pylist() for i in range(PROBES)), strict=True):
+                marks = np.frombuffer(b"".join(row), np.uint8).reshape(PROBES, SKETCH)
+                i, j = np.triu_indices(PROBES, 1)
+                u, v = marks[i], marks[j]
+                same = ((u == v) & (u > 0)).sum(axis=1) / np.maximum(1, ((u > 0) | (v > 0)).sum(axis=1))
+                dense.append(bool(same.mean() >= DENSE))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(dense, pa.bool_())], ["key", "dense"])
+
     nodes = reps.select(F.explode("paths").alias("key"), "rid")
     done = None
     for depth in range(1, DEPTH + 1):
@@ -191,9 +204,14 @@ def buckets(docs: DataFrame, reps: DataFrame) -> DataFrame:
         met = common.stored(nodes.join(count, "key").select("key", "m", "rid"))
         final = met if depth == DEPTH else met.where(F.col("m") <= SMALL)
         done = final if done is None else done.unionByName(final)
-        large = met.where(F.col("m") > SMALL).groupBy("rid").agg(F.collect_set("key").alias("nodes"))
+        large = met.where(F.col("m") > SMALL)
         if depth == DEPTH or large.isEmpty():
             break
+        # a few members of each large bucket show whether splitting it would help
+        some = large.join(reps.select("rid", "sketch"), "rid").groupBy("key").agg(*(F.min_by("sketch", F.xxhash64("rid", F.lit(i))).alias(f"s{i}") for i in range(PROBES)))
+        large = common.stored(large.join(some.mapInArrow(alike, "key long, dense boolean"), "key"))
+        done = done.unionByName(large.where("dense").select("key", "m", "rid"))
+        large = large.where("not dense").groupBy("rid").agg(F.collect_set("key").alias("nodes"))
         wanted = large.join(reps.select("rid", "doc_id", "tk"), "rid")
         nodes = common.stored(common.batched(_fetch(docs, wanted).select("text", "rid", "nodes")).mapInArrow(grow, "key long, rid long").distinct())
     return done
@@ -311,10 +329,9 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """docs with one document of each linked group: that of the least id."""
     found = common.stored(classes(docs))
     same = found.groupBy("doc_id", "tk").agg(F.max("first").alias("keep"), F.count("*").alias("n"))
-    kept = same.where("keep").select(F.col("doc_id").alias("w_id"), F.col("tk").alias("w_tk"), (F.col("n") > 1).alias("twice"))
-    key = F.xxhash64("text")
-    left = docs.join(kept, (key == F.col("w_tk")) & docs["doc_id"].cast("long").eqNullSafe(F.col("w_id")))
-    once = left.where(~F.col("twice")).select(*(docs[c] for c in docs.columns))
+    kept = same.where("keep").select(F.col("doc_id").alias("_ll_id"), F.col("tk").alias("_ll_tk"), (F.col("n") > 1).alias("_ll_twice"))
+    left = docs.join(kept, (F.xxhash64(docs["text"]) == F.col("_ll_tk")) & docs["doc_id"].cast("long").eqNullSafe(F.col("_ll_id")))
+    once = left.where(~F.col("_ll_twice")).drop("_ll_id", "_ll_tk", "_ll_twice")
     # rows that agree in id and text are copies of each other: one of them stays
-    again = left.where("twice").dropDuplicates(["w_id", "w_tk"]).select(*(docs[c] for c in docs.columns))
+    again = left.where("_ll_twice").dropDuplicates(["_ll_id", "_ll_tk"]).drop("_ll_id", "_ll_tk", "_ll_twice")
     return once.unionByName(again)
