@@ -123,9 +123,10 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", most: int =
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
-    """docs with `score`: the probability of label 1."""
+    """docs with `score`, last: the probability of label 1."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index("text")
+    names, at = docs.columns, docs.columns.index("text")
+    plain = [StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema.fields)]  # names of the caller's may clash
 
     def scored(batches):
         weight, bias = held.value
@@ -136,6 +137,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
                 n = len(off) - 1
                 total = np.bincount(row, weight[bucket], n) / np.maximum(1, np.bincount(row, minlength=n))
                 out[first : first + n] = 1 / (1 + np.exp(-np.clip(total + bias, -60, 60)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [f"c{i}" for i in range(len(names) + 1)])
 
-    return common.batched(docs).mapInArrow(scored, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
+    schema = StructType([*plain, StructField(f"c{len(names)}", DoubleType())])
+    return common.batched(docs.toDF(*(f.name for f in plain))).mapInArrow(scored, schema).toDF(*names, "score")

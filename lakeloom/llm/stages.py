@@ -16,7 +16,8 @@ QUALITY = 0.3
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the classifier, trained on the labels of the table beside them, rejects."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, model).where(F.col("score") >= QUALITY).select(*docs.columns)
+    scored = quality.score(docs, model).toDF(*docs.columns, "_ll_score")
+    return scored.where(F.col("_ll_score") >= QUALITY).drop("_ll_score")
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

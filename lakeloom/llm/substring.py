@@ -125,17 +125,17 @@ def _spans(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, n
 
 
 def _ordered(docs: DataFrame) -> DataFrame:
-    """docs with `_ord`, a unique long in the order of documents: the id itself, or a number of sorted rows where ids are null or repeat."""
+    """docs with `_ll_ord`, a unique long in the order of documents: the id itself, or a number of sorted rows where ids are null or repeat."""
     seen = docs.select(F.count("*").alias("n"), F.count("doc_id").alias("k"), F.countDistinct("doc_id").alias("d")).first()
     if seen.n == seen.k == seen.d and docs.schema["doc_id"].dataType.typeName() in ("byte", "short", "integer", "long"):
-        return docs.withColumn("_ord", F.col("doc_id").cast("long"))
+        return docs.withColumn("_ll_ord", F.col("doc_id").cast("long"))
     by = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     many = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return common.stored(docs.repartitionByRange(many, *by).sortWithinPartitions(*by).withColumn("_ord", F.monotonically_increasing_id()))
+    return common.stored(docs.repartitionByRange(many, *by).sortWithinPartitions(*by).withColumn("_ll_ord", F.monotonically_increasing_id()))
 
 
 def shared_segments(docs: DataFrame) -> DataFrame:
-    """docs (text, _ord) to (kind, ord, a, b, anchor, place): kind 0, bytes a to b are repeated; kind 1, the segment at a with b windows
+    """docs (text, _ll_ord) to (kind, ord, a, b, anchor, place): kind 0, bytes a to b are repeated; kind 1, the segment at a with b windows
     shares its anchor with others and is the first of its like; kind 2, so do very many."""
     many = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -209,7 +209,7 @@ def shared_segments(docs: DataFrame) -> DataFrame:
         rows = np.concatenate(out)
         return pa.table({"kind": rows[:, 0].astype(np.int32), "ord": rows[:, 1], "a": rows[:, 2], "b": rows[:, 3], "anchor": rows[:, 4], "place": rows[:, 5].astype(np.int32)})
 
-    met = common.batched(docs.select("text", "_ord")).mapInArrow(cut, "bucket int, kind int, data binary").repartition(many, "bucket")
+    met = common.batched(docs.select("text", "_ll_ord")).mapInArrow(cut, "bucket int, kind int, data binary").repartition(many, "bucket")
     return common.stored(met.groupBy("bucket").applyInArrow(meet, "kind int, ord long, a long, b long, anchor long, place int"), release=True)
 
 
@@ -249,7 +249,7 @@ def _fetched(docs: DataFrame, found: DataFrame) -> DataFrame:
                     c = slice(i, i + 50_000)
                     yield pa.RecordBatch.from_arrays([pa.array(k[c]), pa.array(x[c]), pa.array(o[c]), pa.array(s[c]), pa.array(y[c]), pa.array(z[c], pa.binary())], ["kind", "x", "ord", "a", "y", "data"])
 
-    rows = docs.select("text", "_ord").join(wanted, F.col("_ord") == F.col("ord")).select("text", "segments", "ord")
+    rows = docs.select("text", "_ll_ord").join(wanted, F.col("_ll_ord") == F.col("ord")).select("text", "segments", "ord")
     return common.stored(common.batched(rows).mapInArrow(cut, "kind int, x long, ord long, a long, y long, data binary"), release=True)
 
 
@@ -295,7 +295,7 @@ def repeated_windows(anchor: np.ndarray, place: np.ndarray, doc: np.ndarray, sta
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """docs (text, _ord) to (ord, spans: merged intervals as pairs of 64-bit numbers), for documents with repeated bytes."""
+    """docs (text, _ll_ord) to (ord, spans: merged intervals as pairs of 64-bit numbers), for documents with repeated bytes."""
     found = shared_segments(docs)
     parts = _fetched(docs, found)
 
@@ -335,12 +335,13 @@ def spans(docs: DataFrame) -> DataFrame:
 
 
 def _cut(docs: DataFrame, fields: list[StructField], digest) -> DataFrame:
-    """digest(row values without text, text bytes, spans) for each document; docs must have _ord."""
+    """digest(row values without text, text bytes, spans) for each document; docs must have _ll_ord."""
     found = spans(docs)
     if (found.agg(F.sum(F.length("spans") + 48)).first()[0] or 0) <= BROADCAST_BYTES:
         found = F.broadcast(found)
-    names = [f.name for f in docs.schema.fields if f.name not in ("text", "_ord")]
-    joined = docs.join(found, F.col("_ord") == F.col("ord"), "left").select("text", "spans", *(F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(names)))
+    names = [f.name for f in docs.schema.fields if f.name not in ("text", "_ll_ord")]
+    found = found.toDF("_ll_at", "_ll_spans")
+    joined = docs.join(found, F.col("_ll_ord") == F.col("_ll_at"), "left").select("text", "_ll_spans", *(F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(names)))
     kinds = pa.schema([(f.name, _arrow(f)) for f in fields])
 
     def run(batches):
@@ -385,8 +386,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         text = _kept(data, cuts).decode(errors="ignore") if cuts else data.decode()
         return text, len(text), int(bool(cuts) and not text.split())
 
-    fields = StructType().add("_text", "string").add("_chars", "long").add("_gone", "long").fields
-    out = _cut(_ordered(docs), fields, digest).where("_gone = 0")
+    fields = StructType().add("_ll_text", "string").add("_ll_chars", "long").add("_ll_gone", "long").fields
+    out = _cut(_ordered(docs), fields, digest).where("_ll_gone = 0")
     kind = dict(docs.dtypes)
-    new = {"text": F.col("_text"), "n_chars": F.col("_chars").cast(kind.get("n_chars", "long"))}
+    new = {"text": F.col("_ll_text"), "n_chars": F.col("_ll_chars").cast(kind.get("n_chars", "long"))}
     return out.select(*(new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns))

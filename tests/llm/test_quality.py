@@ -39,6 +39,8 @@ def test_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (3, "good words here", "c"), (3, "good words here", "c"), (None, "x " * 9000, None)], "doc_id long, text string, score string")
     labels = spark.createDataFrame([(1, 1), (3, None), (None, 0)], "doc_id long, quality int")
     model = quality.fit(docs, labels)
+    got = quality.score(docs, model)
+    assert got.columns == ["doc_id", "text", "score", "score"]
     got = quality.score(docs.drop("score"), model).collect()
     assert len(got) == 5 and len({round(r.score, 9) for r in got}) == 1
     none = quality.fit(docs, labels.limit(0))
