@@ -13,7 +13,8 @@ def _starred(edges: DataFrame, small: bool) -> DataFrame:
     near = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     if not small:
         near = near.unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    # stored, so that the join deals both sides itself and can split the rows of a node that very many link to
+    least = common.stored(near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
     linked = near.join(least, "u")
     if small:
         out = linked.select(F.col("v").alias("x"), "m").unionByName(least.select(F.col("u").alias("x"), "m"))
