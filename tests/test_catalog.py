@@ -169,6 +169,28 @@ def test_files_are_skipped_and_filters_pushed(full, spark):
     assert full.table("ns1.p", where="not (v = '2')").count() == 750
 
 
+def test_manifests_are_skipped(full, spark, monkeypatch):
+    from lakeloom.operators import table
+
+    for k in range(4):
+        full.append("ns1.tbl1", rows(spark, 10, 10 * k))
+    read, plain = [], table.read_manifest
+    monkeypatch.setattr(table, "read_manifest", lambda s, p: read.append(p) or plain(s, p))
+    assert full.table("ns1.tbl1", where="id between 12 and 15").count() == 4 and len(read) == 1
+
+
+def test_replacing_a_table_sees_other_commits(full, spark):
+    full.append("ns1.tbl1", rows(spark, 2))
+    txn = full.begin()
+    txn.replace_table("ns1", "tbl1", "x long")
+    full.append("ns1.tbl1", rows(spark, 1))
+    with pytest.raises(errors.CommitConflict):
+        txn.commit()
+    full.replace_table("ns1", "tbl1", "x long", create=True)
+    full.replace_table("ns1", "tbl9", "x long", create=True)
+    assert full.table("ns1.tbl1").columns == ["x"] and full.table("ns1.tbl1").count() == 0 and full.table_exists("ns1", "tbl9")
+
+
 def test_schema_changes(full, spark):
     full.append("ns1.tbl1", rows(spark, 2))
     full.add_columns("ns1", "tbl1", "more array<int>, z double")

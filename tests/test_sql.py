@@ -44,6 +44,9 @@ def test_statements(cat):
     cat.sql("create table if not exists db.u (id int)")
     cat.sql("create table db.w as with c as (select id from db.u) select id, 1 as one from c")
     assert values(cat.sql("select * from db.w")) == [(7, 1)]
+    before = cat.latest().number
+    cat.sql("create or replace table db.w as select id, 'two' as two, 2 as n from db.w")
+    assert values(cat.sql("select id, two, n from db.w")) == [(7, "two", 2)] and values(cat.sql(f"select * from db.w version as of {before}")) == [(7, 1)]
     cat.sql("create view db.vw as select id from db.w")
     cat.sql("create or replace view db.vw as select id + 1 as id from db.w")
     assert values(cat.sql("select vw.id from db.vw join db.w on vw.id = w.id + 1")) == [(8,)] and values(cat.sql("show views in db")) == [("vw",)]
@@ -100,6 +103,15 @@ def test_saved_transactions(cat, spark):
     assert cat.show_distributed() == []
 
 
+def test_prefix_of_saved_transactions(spark, tmp_path):
+    c = connect(spark, str(tmp_path), create=True, **{"dtxn.ns-prefix": "wip_"})
+    c.sql("create database sys.dtxns.wip_7")
+    c.sql("create database sys.dtxns.wip_7.made")
+    assert c.show_distributed() == ["7"] and values(c.sql("show databases in sys.dtxns")) == [("wip_7",)]
+    c.sql("alter database sys.dtxns.wip_7 set dbproperties ('commit' = 'true')")
+    assert c.namespace_exists("made")
+
+
 def test_references():
     q = "with c as (select 'from x.y' as s from a.b) select * from c, d.e f, g.h join i on 1 = 1 where k in (select z from j.k) -- from n.o\n"
     assert front.references(q, "ns") == ["a.b", "d.e", "g.h", "j.k", "ns.i"]
