@@ -29,8 +29,10 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
-def _clean() -> None:
-    for spark, path in _made:
+def clear() -> None:
+    """Deletes all stored tables of this process. DataFrames that read them are void then; at exit it happens by itself."""
+    while _made:
+        spark, path = _made.pop()
         try:
             jvm = spark.sparkContext._jvm
             at = jvm.org.apache.hadoop.fs.Path(path)
@@ -39,7 +41,7 @@ def _clean() -> None:
             return
 
 
-atexit.register(_clean)
+atexit.register(clear)
 
 
 def stored(df: DataFrame, release: bool = False) -> DataFrame:
