@@ -200,7 +200,7 @@ def buckets(docs: DataFrame, reps: DataFrame) -> DataFrame:
     nodes = reps.select(F.explode("paths").alias("key"), "rid")
     done = None
     for depth in range(1, DEPTH + 1):
-        count = nodes.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+        count = common.stored(nodes.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"))  # stored: the join can split large buckets then
         met = common.stored(nodes.join(count, "key").select("key", "m", "rid"))
         final = met if depth == DEPTH else met.where(F.col("m") <= SMALL)
         done = final if done is None else done.unionByName(final)
@@ -209,7 +209,7 @@ def buckets(docs: DataFrame, reps: DataFrame) -> DataFrame:
             break
         # a few members of each large bucket show whether splitting it would help
         some = large.join(reps.select("rid", "sketch"), "rid").groupBy("key").agg(*(F.min_by("sketch", F.xxhash64("rid", F.lit(i))).alias(f"s{i}") for i in range(PROBES)))
-        large = common.stored(large.join(some.mapInArrow(alike, "key long, dense boolean"), "key"))
+        large = common.stored(large.join(common.stored(some.mapInArrow(alike, "key long, dense boolean")), "key"))
         done = done.unionByName(large.where("dense").select("key", "m", "rid"))
         large = large.where("not dense").groupBy("rid").agg(F.collect_set("key").alias("nodes"))
         wanted = large.join(reps.select("rid", "doc_id", "tk"), "rid")
