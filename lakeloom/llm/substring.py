@@ -209,7 +209,7 @@ def shared_segments(docs: DataFrame) -> DataFrame:
         rows = np.concatenate(out)
         return pa.table({"kind": rows[:, 0].astype(np.int32), "ord": rows[:, 1], "a": rows[:, 2], "b": rows[:, 3], "anchor": rows[:, 4], "place": rows[:, 5].astype(np.int32)})
 
-    met = common.batched(docs.select("text", "_ll_ord")).mapInArrow(cut, "bucket int, kind int, data binary").repartition(many, "bucket")
+    met = common.batched(docs.select("text", "_ll_ord")).mapInArrow(cut, "bucket int, kind int, data binary")
     return common.stored(met.groupBy("bucket").applyInArrow(meet, "kind int, ord long, a long, b long, anchor long, place int"), release=True)
 
 
@@ -318,7 +318,7 @@ def spans(docs: DataFrame) -> DataFrame:
     by_anchor = parts.where("kind = 1").select("x", "y", "ord", "a", "data").repartition("x").sortWithinPartitions("x")
     sorted_ = by_anchor.mapInArrow(sort, "ord long, a long, b long")
     windows = parts.where("kind = 2").select(F.col("x").alias("w1"), F.col("y").alias("w2"), "ord", "a")
-    least = windows.groupBy("w1", "w2").agg(F.min(F.struct("ord", "a")).alias("least"), F.count("*").alias("n")).where("n > 1")
+    least = common.stored(windows.groupBy("w1", "w2").agg(F.min(F.struct("ord", "a")).alias("least"), F.count("*").alias("n")).where("n > 1"))  # stored: a join that deals both sides can split frequent windows
     hot = windows.join(least, ["w1", "w2"]).where(F.struct("ord", "a") != F.col("least")).select("ord", "a", (F.col("a") + WINDOW).alias("b"))
     every = found.where("kind = 0").select("ord", "a", "b").unionByName(sorted_).unionByName(hot)
     per = every.groupBy("ord").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
