@@ -1,5 +1,5 @@
 """The `catalog_nodes` data source: entries of a catalog's tree as rows, read by descent. Filters on the key that Spark hands over (equality,
-a prefix) narrow the descent, so a lookup reads one node a level. Options: path, the catalog's folder on a file system that executors see, and
+a prefix) narrow the descent, so a lookup reads one node a level. Options: path, the catalog's folder or URI, which executors must reach, and
 version (the latest by default)."""
 
 from __future__ import annotations
@@ -41,9 +41,9 @@ class NodesReader(DataSourceReader):
 
     def _tree(self):
         from lakeloom.operators.tree import Tree
-        from lakeloom.sources.storage import open_storage
+        from lakeloom.sources.storage import reading
 
-        return Tree(open_storage(self.path))
+        return Tree(reading(self.path))
 
     def partitions(self):
         tree = self._tree()

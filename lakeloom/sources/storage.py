@@ -194,7 +194,39 @@ class HadoopStorage(Storage):
         return sorted(found)
 
 
-_STORES: dict[str, Callable[..., Storage]] = {"file": LocalStorage, "local": LocalStorage, "hadoop": HadoopStorage, "hdfs": HadoopStorage, "s3": HadoopStorage, "s3a": HadoopStorage, "abfs": HadoopStorage, "gs": HadoopStorage, "viewfs": HadoopStorage}
+class ArrowStorage(Storage):
+    """Reading only, without a JVM: for executors, on any file system that Arrow knows by its URI."""
+
+    def __init__(self, root: str, **options: str) -> None:
+        super().__init__(root, **options)
+        from pyarrow import fs
+
+        self._fs, self._base = fs.FileSystem.from_uri(str(self.root))
+        self._missing = fs.FileType.NotFound
+
+    def read(self, path: str) -> bytes:
+        try:
+            with self._fs.open_input_file(f"{self._base}/{path}") as f:
+                return f.read()
+        except OSError as e:
+            raise ReadFailure(f"{path}: {e}") from e
+
+    def exists(self, path: str) -> bool:
+        return self._fs.get_file_info(f"{self._base}/{path}").type != self._missing
+
+    def list(self, prefix: str = "") -> list[str]:
+        from pyarrow import fs
+
+        found = self._fs.get_file_info(fs.FileSelector(f"{self._base}/{prefix}".rstrip("/"), recursive=True, allow_not_found=True))
+        return sorted(f.path.removeprefix(f"{self._base}/") for f in found if f.is_file and not f.base_name.startswith("."))
+
+
+def reading(root: str) -> Storage:
+    """A store to read from where there may be no session, as on executors."""
+    return LocalStorage(root) if URI(root).scheme == "file" else ArrowStorage(root)
+
+
+_STORES: dict[str, Callable[..., Storage]] = {"file": LocalStorage, "local": LocalStorage, "arrow": ArrowStorage, "hadoop": HadoopStorage, "hdfs": HadoopStorage, "s3": HadoopStorage, "s3a": HadoopStorage, "abfs": HadoopStorage, "gs": HadoopStorage, "viewfs": HadoopStorage}
 
 
 def open_storage(root: str, kind: str | None = None, **options: str) -> Storage:

@@ -31,9 +31,9 @@ class VersionsReader(SimpleDataSourceStreamReader):
 
     def _tree(self):
         from lakeloom.operators.tree import Tree
-        from lakeloom.sources.storage import open_storage
+        from lakeloom.sources.storage import reading
 
-        return Tree(open_storage(self.path))
+        return Tree(reading(self.path))
 
     def read(self, start):
         tree, at = self._tree(), start["version"]

@@ -61,3 +61,15 @@ def test_factory(tmp_path, spark):
     for bad in ("ftp", "no.such.Store"):
         with pytest.raises(InvalidArgument):
             open_storage(str(tmp_path), bad)
+
+
+def test_reading_without_a_session(tmp_path):
+    made = LocalStorage(str(tmp_path))
+    for i in range(3):
+        made.create(f"a/{i}", str(i).encode())
+    store = open_storage(f"file://{tmp_path}", "arrow")
+    assert store.list() == made.list() and store.list("none") == [] and store.read("a/2") == b"2" and store.exists("a/1") and not store.exists("a/9")
+    with pytest.raises(ReadFailure):
+        store.read("a/9")
+    with pytest.raises(NotImplementedError):
+        store.create("a/9", b"")
