@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import gc
 import tempfile
 import uuid
@@ -67,6 +69,27 @@ def batched(df: DataFrame) -> DataFrame:
     return df
 
 
+def release() -> None:
+    """Gives memory that this process no longer uses back to the system: Python workers live on from stage to stage, and what
+    their allocators keep would add up."""
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        trim(0)
+
+
+def trimmed(run):
+    """run, a function over Arrow batches, with a release at the end of its task."""
+
+    @functools.wraps(run)
+    def ended(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return ended
+
+
 def starts(counts: DataFrame, key: str, part: str = "pid", n: str = "n") -> DataFrame:
     """Of counts by (part, key): for each the rows of the same key in lesser parts, as `before`."""
     w = Window.partitionBy(key).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)

@@ -103,6 +103,7 @@ def fingerprints(docs: DataFrame, column: str = "text") -> DataFrame:
     at = docs.columns.index(column)
     names = docs.columns
 
+    @common.trimmed
     def run(batches):
         for batch in batches:
             marks = [Tree((x or "").encode()).text for x in batch.column(at).to_pylist()]
@@ -139,6 +140,7 @@ def against_next(docs: DataFrame) -> DataFrame:
     dealt = rows.select("doc_id", "text", "k", range_of("k").alias("r"), F.lit(False).alias("head")).unionByName(first)
     dealt = dealt.repartition("r").sortWithinPartitions("r", "head", "k", F.xxhash64("text"))
 
+    @common.trimmed
     def pair(batches):
         def finish(mine, after):
             doc, text, tree = mine

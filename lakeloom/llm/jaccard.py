@@ -151,6 +151,7 @@ def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def sets(docs: DataFrame) -> DataFrame:
     """(rid, doc_id, tk, s1, s2: the set's hash, n: its size, paths: first nodes of the runs, sketch), stored."""
 
+    @common.trimmed
     def run(batches):
         pid, seen = TaskContext.get().partitionId(), 0
         for batch in batches:
@@ -174,6 +175,7 @@ def sets(docs: DataFrame) -> DataFrame:
 def buckets(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """(key, m, rid): the buckets of 2 sets and more in which the paths of all runs end."""
 
+    @common.trimmed
     def grow(batches):
         for batch in batches:
             rid, keys = [], []
@@ -186,6 +188,7 @@ def buckets(docs: DataFrame, reps: DataFrame) -> DataFrame:
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(rid).astype(np.int64))], ["key", "rid"])
 
+    @common.trimmed
     def alike(batches):
         for batch in batches:
             dense = []
@@ -220,6 +223,7 @@ def buckets(docs: DataFrame, reps: DataFrame) -> DataFrame:
 def candidates(met: DataFrame, reps: DataFrame) -> DataFrame:
     """Links (a, b) that span the likely similar sets of each bucket."""
 
+    @common.trimmed
     def run(batches):
         for table in _groups(batches, 3):
             edge = _edges_of(table, 3)
@@ -266,6 +270,7 @@ def verified(docs: DataFrame, reps: DataFrame, linked: DataFrame) -> tuple[DataF
     size = comp.groupBy("label").agg(F.count("*").alias("m"))
     wanted = comp.join(size, "label").withColumnRenamed("node", "rid").join(reps.select("rid", "doc_id", "tk", "copies"), "rid")
 
+    @common.trimmed
     def cut(batches):
         for batch in batches:
             tokens = []
@@ -276,6 +281,7 @@ def verified(docs: DataFrame, reps: DataFrame, linked: DataFrame) -> tuple[DataF
     rows = common.batched(_fetch(docs, wanted).select("label", "m", "rid", "copies", "text")).mapInArrow(cut, "label long, m long, rid long, copies long, tokens binary")
     rows = _in_blocks(rows, "label", BLOCK).select("label", "b1", "b2", "own", "rid", "copies", "tokens")
 
+    @common.trimmed
     def run(batches):
         for table in _groups(batches, 3):
             edge = _edges_of(table, 3)

@@ -74,6 +74,7 @@ def _tally(batches, keys_of, dtype):
 def word_counts(train: DataFrame) -> DataFrame:
     """(h, c): the exact count of every token's hash over train (text)."""
 
+    @common.trimmed
     def count(batches):
         for keys, n in _tally(batches, lambda raw, off: stream(raw, off)[0], np.uint64):
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
@@ -177,6 +178,7 @@ def learn(train: DataFrame, counts: DataFrame) -> Model:
     model.vocabulary, model.vocabulary_counts = _top(counts, by_level, VOCABULARY - 2)
     shared = spark.sparkContext.broadcast(model.vocabulary)
 
+    @common.trimmed
     def count(batches):
         def keys_of(raw, off):
             before, own = pairs(*stream(raw, off), shared.value)
@@ -201,6 +203,7 @@ def learn(train: DataFrame, counts: DataFrame) -> Model:
         for chunk, keys, counts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             yield chunk, np.frombuffer(keys, "<u4").astype(np.uint64), np.frombuffer(counts, "<i8")
 
+    @common.trimmed
     def contexts(batches):  # ids -1 - level: entries of that level; else occurrences after a context
         size = VOCABULARY + 2
         total, by = np.zeros(size, np.int64), np.zeros(64 * 8, np.int64)
@@ -224,6 +227,7 @@ def learn(train: DataFrame, counts: DataFrame) -> Model:
     model.size = max(64, -(-entries * ENTRY_BITS // CHUNKS // 8) * 8)
     held = spark.sparkContext.broadcast((model.context, np.r_[np.zeros(2), model.vocabulary_counts], model.total, model.distinct, model.size, lowest))
 
+    @common.trimmed
     def build(batches):
         context, word, total, distinct, size, lowest = held.value
         for batch in batches:
@@ -258,6 +262,7 @@ def score(docs: DataFrame, train: DataFrame) -> DataFrame:
     keep = [f for f in docs.schema.fields if f.name != "text"]
     at = docs.columns.index("text")
 
+    @common.trimmed
     def frequent(batches):
         m, pid, seen = held.value, TaskContext.get().partitionId(), 0
         for batch in batches:

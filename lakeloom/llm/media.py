@@ -164,6 +164,7 @@ def audio(df: DataFrame, column: str, columns: tuple[str, ...] = COLUMNS) -> Dat
                 out["tensors"] = [{"start_s": k * CHUNK * second, "end_s": (min((k + 1) * CHUNK, len(mels)) - 1) * second + FRAME / TO_RATE, "shape": [CHUNK, MELS], "values": t.ravel()} for k, t in enumerate(tensors(mels))]
         return {c: out[c] for c in columns}
 
+    @common.trimmed
     def run(batches):
         kinds = {"tensors": _TENSORS, "segments": _SEGMENTS, "media": pa.binary()}
         for batch in batches:

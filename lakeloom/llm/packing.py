@@ -145,6 +145,7 @@ def solve(count: np.ndarray) -> dict[str, np.ndarray]:
 def tokenised(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = CAPACITY, end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """A row for each piece: doc_id, piece, start, length, ids_crc32, pid, local (rank among the task's pieces of that length), ids."""
 
+    @common.trimmed
     def pieces(batches):
         import base64
 
@@ -192,6 +193,7 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = CAPACIT
         histogram[length] = n
     places = spark.sparkContext.broadcast(solve(histogram))
 
+    @common.trimmed
     def place(batches):
         p = places.value
         for batch in batches:

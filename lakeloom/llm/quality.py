@@ -112,6 +112,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", most: int =
         .dropDuplicates(["doc_id"])
     )
 
+    @common.trimmed
     def bags(batches):
         for batch in batches:
             found = [bag((t or "").encode()) for t in batch.column("text").to_pylist()]
@@ -128,6 +129,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
     names, at = docs.columns, docs.columns.index("text")
     plain = [StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema.fields)]  # names of the caller's may clash
 
+    @common.trimmed
     def scored(batches):
         weight, bias = held.value
         for batch in batches:

@@ -129,6 +129,7 @@ def reshard(df: DataFrame, shards: int, old: Column, size: Column, group: Column
     names = df.columns
     wide = df.select(*(F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(names)), block.alias("b"), size.alias("s"), F.pmod(F.coalesce(group, F.lit(0)), F.lit(RANGES)).cast("int").alias("r"))
 
+    @common.trimmed
     def ranked(batches):
         local, pid = common.LocalRanks(), TaskContext.get().partitionId()
         for batch in batches:
@@ -147,6 +148,7 @@ def reshard(df: DataFrame, shards: int, old: Column, size: Column, group: Column
             at, slot[j] = at + n, slot[j] + n
     held = df.sparkSession.sparkContext.broadcast({k: np.array([x[i] for x in runs], np.int64) for i, k in enumerate(("block", "rank", "shard", "slot"))})
 
+    @common.trimmed
     def placed(batches):
         p = held.value
         for batch in batches:

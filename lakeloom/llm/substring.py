@@ -163,6 +163,7 @@ def shared_segments(docs: DataFrame) -> DataFrame:
             ends = np.searchsorted(to[order], np.arange(many + 1))
             yield [(int(t), 3, b"".join(c[order[ends[t] : ends[t + 1]]].astype("<i8").tobytes() for c in dup)) for t in np.flatnonzero(np.diff(ends))]
 
+    @common.trimmed
     def cut(batches):
         held, size = [], 0
 
@@ -217,6 +218,7 @@ def _fetched(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The bytes of segments of kind 1, as (kind 1, anchor, ord, a, place, data), and the hashes of windows of kind 2, as (kind 2, w1, ord, a, w2, null)."""
     wanted = found.where("kind > 0").groupBy("ord").agg(F.collect_list(F.struct("kind", "anchor", "a", "b", "place")).alias("segments"))
 
+    @common.trimmed
     def cut(batches):
         for batch in batches:
             raw, off = common.buffers(batch.column(0))
@@ -299,6 +301,7 @@ def spans(docs: DataFrame) -> DataFrame:
     found = shared_segments(docs)
     parts = _fetched(docs, found)
 
+    @common.trimmed
     def sort(batches):
         held = []
 
@@ -323,6 +326,7 @@ def spans(docs: DataFrame) -> DataFrame:
     every = found.where("kind = 0").select("ord", "a", "b").unionByName(sorted_).unionByName(hot)
     per = every.groupBy("ord").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
 
+    @common.trimmed
     def merge(batches):
         for batch in batches:
             a, b = (batch.column(i).flatten().to_numpy() for i in (1, 2))
@@ -344,6 +348,7 @@ def _cut(docs: DataFrame, fields: list[StructField], digest) -> DataFrame:
     joined = docs.join(found, F.col("_ll_ord") == F.col("_ll_at"), "left").select("text", "_ll_spans", *(F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(names)))
     kinds = pa.schema([(f.name, _arrow(f)) for f in fields])
 
+    @common.trimmed
     def run(batches):
         for batch in batches:
             text, found_, rest = batch.column(0), batch.column(1), list(batch.columns[2:])
