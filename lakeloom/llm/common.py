@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows that one Arrow batch may hold, so that a batch of very long texts stays small.
-BATCH_ROWS = 1000
+BATCH_ROWS = 250
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -165,7 +165,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(column: pa.Array, most: int = 1 << 20):
+def slices(column: pa.Array, most: int = 1 << 19):
     """(first row, bytes, bounds) of runs of rows with about `most` bytes; a longer row comes alone."""
     raw, off = buffers(column)
     i = 0

@@ -37,9 +37,9 @@ WINDOW, GRAM = 100, 32
 #: Different segments of an anchor that one batch takes, and of which one map task sends to one place, at most.
 HOT, LOCAL_HOT = 2048, 256
 #: Segments that a map task holds before it reduces and sends them.
-HELD = 1 << 20
+HELD = 1 << 19
 #: Segments that one batch sorts, about.
-BATCH = 8192
+BATCH = 4096
 #: Bytes of documents' spans that are broadcast at most; beyond that they are joined by a shuffle.
 BROADCAST_BYTES = 1 << 26
 _POSITION = np.uint64(30)
