@@ -1,16 +1,15 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Words are counted exactly over all training documents (as 64-bit hashes, on executors). The most frequent words, at most
-VOCABULARY, form the model's vocabulary; pairs of neighbouring vocabulary words are counted exactly, too, each as one 32-bit key.
-A pair of count c is quantised to level 1 + floor(log_BASE c) and enters the filter once for each level up to its own; a lookup
-probes level after level until one is missing, and the last one found stands for the count. The filter is cut in chunks by pair,
-so executors build it in pieces, and holds at most FILTER_BITS bits whatever the corpus: where all pairs don't fit, the
-rarest levels stay out, which the smoothing covers. Probabilities interpolate the filter's pair estimate with the smoothed
-word probability; the weight depends on how often the context was seen and is the best of a grid by leave-one-out on all pairs.
-
-Exact word counts reach the scorer in two ways. The most frequent words, at most FREQUENT, are broadcast; all other words of a
-document go through a join, which is exact, too. Words outside the vocabulary have no pair term, so their part of a
-score is a plain sum that this join completes.
+All words of the training documents and all pairs of neighbouring words (a row's start is a word, too) are counted exactly, as
+64-bit hashes, on executors; there is no vocabulary. A pair of count c is quantised to level 1 + floor(log_BASE c) and enters the
+filter once for each level up to its own; a lookup probes level after level until one is missing, and the last one found stands for
+the count. Hashes are dealt to shards, whose number grows with the text; each shard holds the counts of its words and a filter as
+large as its pairs need, so nothing is left out, and no machine holds it all. Probabilities interpolate the filter's pair estimate
+with the smoothed word probability; the weight depends on how often the context was seen and is the best of a grid by
+leave-one-out over all training tokens, as the filter answers them.
+
+Documents are cut in blocks. A block asks every shard for its distinct words and pairs, the shards answer in the order of the
+asking, and the block is scored with the answers: exact word counts and filter levels. It is one way for all sizes.
 
 Null text: empty, one end token. Null doc_id: held out of neither fold by the caller's condition, hence not trained on. Empty
 table: no rows. No training rows: every count is 0. Repeated rows: each is counted and scored.
@@ -18,20 +17,23 @@ table: no rows. No training rows: every count is 0. Repeated rows: each is count
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Words of the model at most, and words whose counts are broadcast at most (16 bytes each).
+#: Bounds of an earlier model with a vocabulary; nothing reads them but tests that set them.
 VOCABULARY, FREQUENT = (1 << 16) - 1, 1 << 20
-#: The filter: bits at most (32 MB), hash functions, bits for an entry, base of the levels.
-FILTER_BITS, PROBES, ENTRY_BITS, BASE = 1 << 28, 4, 6, 2**0.5
+#: The filter: hash functions, bits for an entry, base of the levels; a shard's filter has CHUNKS parts.
+PROBES, ENTRY_BITS, BASE = 4, 6, 2**0.5
 CHUNKS = 512
-END = np.uint64(0x27D4EB2F165667C5)
+#: Training bytes to a shard, shards at least, bytes to a block of documents, and blocks at least.
+SHARD, SHARDS, BLOCK, BLOCKS = 1 << 24, 12, 1 << 23, 24
+END, START = np.uint64(0x27D4EB2F165667C5), np.uint64(0x5851F42D4C957F2D)
 #: Candidate weights of the pair estimate.
 GRID = np.array([0.0, 0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95])
 #: Words that one task holds before it merges or sends what it has.
@@ -53,67 +55,51 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def _tally(batches, keys_of, dtype):
-    """Distinct keys of a task's batches with counts, a run at a time."""
-    held, size = [], 0
-    for batch in batches:
-        for _, raw, off in common.slices(batch.column(0)):
-            keys, n = np.unique(keys_of(raw, off), return_counts=True)
-            held.append((keys.astype(dtype), n))
-            size += len(keys)
-            if size > HELD:
-                held = [_summed(*(np.concatenate(x) for x in zip(*held, strict=True)))]
-                size = len(held[0][0])
-                if size > HELD // 2:
-                    yield held.pop()
-                    size = 0
-    if size:
-        yield _summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+class Tally:
+    """Distinct keys with counts."""
 
+    def __init__(self) -> None:
+        self.held, self.size = [], 0
 
-def word_counts(train: DataFrame) -> DataFrame:
-    """(h, c): the exact count of every token's hash over train (text)."""
+    def add(self, keys: np.ndarray) -> None:
+        self.held.append(np.unique(keys, return_counts=True))
+        self.size += len(self.held[-1][0])
+        if self.size > HELD:
+            self.held = [self._merged()]
+            self.size = len(self.held[0][0])
 
-    @common.trimmed
-    def count(batches):
-        for keys, n in _tally(batches, lambda raw, off: stream(raw, off)[0], np.uint64):
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
+    def _merged(self) -> tuple[np.ndarray, np.ndarray]:
+        return _summed(*(np.concatenate(x) for x in zip(*self.held, strict=True))) if self.held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        out = self._merged()
+        self.__init__()
+        return out
 
-    return common.batched(train.select("text")).mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("c"))
 
+def _cuts(keys: np.ndarray, shards: int) -> np.ndarray:
+    """Bounds of each shard's part of sorted keys: shards are ranges of hashes."""
+    return np.searchsorted((keys >> np.uint64(40)) * np.uint64(shards) >> np.uint64(24), np.arange(shards + 1, dtype=np.uint64))
 
-def _top(counts: DataFrame, by_level: dict[int, int], most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The words of at least a power of two occurrences, so that there are at most `most`, sorted by hash."""
-    level, n = max(by_level, default=0) + 1, 0
-    while level and n + by_level.get(level - 1, 0) <= most:
-        level -= 1
-        n += by_level.get(level, 0)
-    rows = counts.where(F.col("c") >= 2**level).toArrow()
-    h, c = rows.column("h").to_numpy().view(np.uint64), rows.column("c").to_numpy()
-    order = np.argsort(h)
-    return h[order], c[order]
 
+def _parts(x: np.ndarray, cuts: np.ndarray, dtype: str) -> pa.Array:
+    x = x.astype(dtype)
+    return pa.array([x[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
 
-def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Index of each key, -1 where missing."""
-    if not len(sorted_keys):
-        return np.full(len(keys), -1)
-    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
-    return np.where(sorted_keys[at] == keys, at, -1)
+
+def _joined(column: pa.ChunkedArray, dtype: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype)
 
 
 def _chunk(keys: np.ndarray) -> np.ndarray:
     return (common.mix(keys.astype(np.uint64)) % np.uint64(CHUNKS)).astype(np.int64)
 
 
-def pairs(tokens: np.ndarray, row: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each token: the vocabulary index of its context (0: none, the row's start has its own) and of itself (0: not in it).
-    Indexes are 2 and up for words; 1 is the start of a row."""
-    own, back = np.unique(tokens, return_inverse=True)
-    ids = np.where((at := _find(vocabulary, own)) >= 0, at + 2, 0)[back]
-    before = np.r_[np.int64(1), ids[:-1]] if len(ids) else ids
-    before[1:][row[1:] != row[:-1]] = 1
-    return before.astype(np.uint64), ids.astype(np.uint64)
+def pairs(tokens: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """The hash of each token with the one before it."""
+    before = np.r_[START, tokens[:-1]] if len(tokens) else tokens
+    before[1:][row[1:] != row[:-1]] = START
+    return common.mix(before * np.uint64(3) + tokens)
 
 
 def levels(c: np.ndarray) -> np.ndarray:
@@ -125,6 +111,12 @@ def decoded(level: np.ndarray) -> np.ndarray:
     return np.where(level > 0, np.maximum(1.0, (BASE ** (level - 1.0) + BASE**level * 1.0) / 2 - 0.5 * (level > 3)), 0.0)
 
 
+def others(level: np.ndarray) -> np.ndarray:
+    """The count that a level stands for without one occurrence: the middle of the whole numbers it may have been, less one."""
+    least, most = np.ceil(BASE ** (level - 1.0) - 1e-9), np.ceil(BASE**level * 1.0 - 1e-9) - 1
+    return np.where(level > 0, (least + np.maximum(least, most)) / 2 - 1, 0.0)
+
+
 def _bits(keys: np.ndarray, level: np.ndarray | int, size: int) -> list[np.ndarray]:
     """Places of a key's level in its chunk, which has `size` bits."""
     base = common.mix(keys * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1) + np.asarray(level).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
@@ -150,178 +142,160 @@ def lookup(bitmap: np.ndarray, size: int, keys: np.ndarray) -> np.ndarray:
     return found
 
 
+def shards(train: DataFrame) -> tuple[DataFrame, int]:
+    """The stored shards of train (text), and their number: (shard, words and their counts, size, bitmap, tokens, distinct)."""
+    n_bytes = train.agg(F.sum(F.octet_length("text") + F.lit(1))).first()[0] or 0
+    number = max(SHARDS, -(-n_bytes // SHARD))
+
+    @common.trimmed
+    def count(batches):
+        held = Tally(), Tally()
+
+        def out():
+            (w, wn), (p, pn) = held[0].take(), held[1].take()
+            wc, pc = _cuts(w, number), _cuts(p, number)
+            return pa.RecordBatch.from_arrays([pa.array(np.arange(number, dtype=np.int32)), _parts(w, wc, "<u8"), _parts(wn, wc, "<u4"), _parts(p, pc, "<u8"), _parts(pn, pc, "<u4")], ["shard", "w", "wn", "p", "pn"])
+
+        for batch in batches:
+            for _, raw, off in common.slices(batch.column(0)):
+                tokens, row = stream(raw, off)
+                held[0].add(tokens)
+                held[1].add(pairs(tokens, row))
+                if held[1].size > HELD // 2 and len(held[1].held) == 1:
+                    yield out()
+        if held[0].size:
+            yield out()
+
+    def built(table):
+        common.release()
+        words, c = _summed(_joined(table.column("w"), "<u8"), _joined(table.column("wn"), "<u4").astype(np.int64))
+        keys, n = _summed(_joined(table.column("p"), "<u8"), _joined(table.column("pn"), "<u4").astype(np.int64))
+        level = levels(n)
+        size = max(64, -(-int(level.sum()) * ENTRY_BITS // CHUNKS // 8) * 8)
+        bitmap, base = np.zeros(CHUNKS * size, bool), _chunk(keys) * size
+        for at in range(1, int(level.max(initial=0)) + 1):
+            has = level >= at
+            for place in _bits(keys[has], at, size):
+                bitmap[base[has] + place] = True
+        cells = [words.astype("<u8").tobytes(), c.astype("<i8").tobytes(), size, np.packbits(bitmap, bitorder="little").tobytes(), int(c.sum()), len(words)]
+        return pa.table({"shard": table.column("shard")[:1], **{k: pa.array([x]) for k, x in zip(("words", "counts", "size", "bitmap", "tokens", "distinct"), cells, strict=True)}})
+
+    tallies = common.batched(train.select("text")).mapInArrow(count, "shard int, w binary, wn binary, p binary, pn binary")
+    return common.stored(tallies.groupBy("shard").applyInArrow(built, "shard int, words binary, counts binary, size long, bitmap binary, tokens long, distinct long"), release=True), number
+
+
+def _tokens(column) -> tuple[np.ndarray, np.ndarray]:
+    found = [(t, row + first) for first, raw, off in common.slices(column) for t, row in [stream(raw, off)]]
+    return np.concatenate([t for t, _ in found]), np.concatenate([row for _, row in found])
+
+
+def answered(docs: DataFrame, names: list[str], held: DataFrame, number: int, use, schema: str) -> DataFrame:
+    """use(rows of a block, row of each token, counts of tokens, counts of their contexts, levels of their pairs), over all blocks of
+    docs; the rows have the columns `names` of docs and the text last. Its table has the given schema. A block is a hash of
+    whole rows, so that it is the same rows whenever it is read."""
+    n_bytes = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + F.lit(64))).first()[0] or 0
+    hashed = F.xxhash64(*(F.col(f"`{f.name}`") for f in docs.schema.fields if docs.columns.count(f.name) == 1 and "map<" not in f.dataType.simpleString() and f.dataType.typeName() not in ("variant", "interval")))
+    block = F.pmod(hashed, F.lit(max(BLOCKS, -(-n_bytes // BLOCK))))
+    blocks = docs.select(*(F.col(f"`{n}`").alias(f"_k{i}") for i, n in enumerate(names)), F.col("text").cast("string").alias("text"), block.alias("_block"))
+
+    def ask(rows):
+        common.release()
+        tokens, row = _tokens(rows.column("text"))
+        words, keys = np.unique(tokens), np.unique(pairs(tokens, row))
+        return pa.table({"_block": pa.array(np.full(number, rows.column("_block")[0].as_py())), "_shard": pa.array(np.arange(number, dtype=np.int32)), "_w": _parts(words, _cuts(words, number), "<u8"), "_p": _parts(keys, _cuts(keys, number), "<u8")})
+
+    def answer(asked, shard):
+        if not asked.num_rows:  # no rows in docs
+            return pa.table({n: pa.array([], t) for n, t in (("_block", pa.int64()), ("_shard", pa.int32()), ("_c", pa.binary()), ("_l", pa.binary()))})
+        common.release()
+        wants, keys = ([np.frombuffer(x, "<u8") for x in asked.column(n).to_pylist()] for n in ("_w", "_p"))
+        flat_w, back_w = np.unique(np.concatenate(wants), return_inverse=True)
+        flat_p, back_p = np.unique(np.concatenate(keys), return_inverse=True)
+        c, level = np.zeros(len(flat_w), np.int64), np.zeros(len(flat_p), np.int64)
+        if shard.num_rows:
+            words, n = _joined(shard.column("words"), "<u8"), _joined(shard.column("counts"), "<i8")
+            if len(words):
+                at = np.minimum(np.searchsorted(words, flat_w), len(words) - 1)
+                c = np.where(words[at] == flat_w, n[at], 0)
+            level = lookup(_joined(shard.column("bitmap"), "u1"), shard.column("size")[0].as_py(), flat_p)
+        ends = [np.r_[0, np.cumsum([len(x) for x in xs])] for xs in (wants, keys)]
+        return pa.table({"_block": asked.column("_block"), "_shard": asked.column("_shard"), "_c": _parts(c[back_w], ends[0], "<i8"), "_l": _parts(level[back_p], ends[1], "<u2")})
+
+    def used(rows, answers):
+        common.release()
+        answers = answers.sort_by("_shard")  # shards are ranges, so this is the order of the sorted keys
+        tokens, row = _tokens(rows.column("text"))
+        words, back = np.unique(tokens, return_inverse=True)
+        counts = _joined(answers.column("_c"), "<i8")
+        c = counts[back]
+        begin = np.r_[True, row[1:] != row[:-1]]
+        of = np.r_[np.int64(0), c[:-1]]
+        of[begin] = counts[np.searchsorted(words, END)]  # one end a row
+        _, again = np.unique(pairs(tokens, row), return_inverse=True)
+        return use(rows, row, c, of, _joined(answers.column("_l"), "<u2").astype(np.int64)[again])
+
+    asks = common.batched(blocks).groupBy("_block").applyInArrow(ask, "_block long, _shard int, _w binary, _p binary")
+    answers = asks.groupBy("_shard").cogroup(held.withColumnRenamed("shard", "_shard").groupBy("_shard")).applyInArrow(answer, "_block long, _shard int, _c binary, _l binary")
+    return blocks.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(used, schema)  # one exchange of the blocks serves both
+
+
 class Model:
-    """What the scorer needs: counts of frequent words, the vocabulary, contexts' totals, weights and the filter."""
+    """Totals, and the weight of the pair estimate by the context's count (its power of two)."""
 
     def __init__(self, total: int, distinct: int) -> None:
         self.total, self.distinct = total, distinct
-        self.scale = float(np.log10(total + 0.5 * (distinct + 1))) if total else float(np.log10(0.5))
-        self.words, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.vocabulary, self.vocabulary_counts = self.words, self.counts
-        self.context = np.zeros(2, np.int64)
         self.weight = np.zeros(64)
-        self.size, self.bitmap = 0, np.zeros(0, np.uint8)
 
     def base(self, c: np.ndarray) -> np.ndarray:
-        return np.log10(c + 0.5) - self.scale
+        return np.log10(c + 0.5) - (np.log10(self.total + 0.5 * (self.distinct + 1)) if self.total else np.log10(0.5))
 
 
-def learn(train: DataFrame, counts: DataFrame) -> Model:
-    """The model of train (text); counts: its word_counts, stored."""
-    spark = train.sparkSession
-    by_level = {r.level: r.n for r in counts.groupBy(F.floor(F.log2(F.col("c").cast("double"))).cast("int").alias("level")).agg(F.count("*").alias("n")).collect()}
-    totals = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    model = Model(totals.n or 0, totals.v)
-    if not model.total:
-        return model
-    model.words, model.counts = _top(counts, by_level, FREQUENT)
-    model.vocabulary, model.vocabulary_counts = _top(counts, by_level, VOCABULARY - 2)
-    shared = spark.sparkContext.broadcast(model.vocabulary)
-
-    @common.trimmed
-    def count(batches):
-        def keys_of(raw, off):
-            before, own = pairs(*stream(raw, off), shared.value)
-            return (before << np.uint64(16) | own)[(before > 0) & (own > 0)]
-
-        for keys, n in _tally(batches, keys_of, np.uint64):
-            chunk = _chunk(keys)
-            order = np.argsort(chunk, kind="stable")
-            ends = np.searchsorted(chunk[order], np.arange(CHUNKS + 1))
-            has = np.flatnonzero(np.diff(ends))
-            k, c = keys[order].astype("<u4"), n[order].astype("<u4")
-            yield pa.RecordBatch.from_arrays([pa.array(has.astype(np.int32)), *(pa.array([x[ends[i] : ends[i + 1]].tobytes() for i in has], pa.binary()) for x in (k, c))], ["chunk", "keys", "counts"])
+def _forget(spark) -> None:
+    """Has Spark drop the shuffle files of what nothing refers to any more."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
-    def merged(table):
-        keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), "<u4")
-        keys, n = _summed(keys, np.frombuffer(b"".join(table.column("counts").to_pylist()), "<u4").astype(np.int64))
-        return pa.table({"chunk": table.column("chunk")[:1], "keys": pa.array([keys.astype("<u4").tobytes()]), "counts": pa.array([n.astype("<i8").tobytes()])})
 
-    kept = common.stored(common.batched(train.select("text")).mapInArrow(count, "chunk int, keys binary, counts binary").groupBy("chunk").applyInArrow(merged, "chunk int, keys binary, counts binary"))
-
-    def read(batch):
-        for chunk, keys, counts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            yield chunk, np.frombuffer(keys, "<u4").astype(np.uint64), np.frombuffer(counts, "<i8")
+def learn(train: DataFrame, held: DataFrame, number: int) -> Model:
+    """The model of train (text), of which held are the shards."""
+    _forget(train.sparkSession)
+    sums = held.agg(F.sum("tokens"), F.sum("distinct")).first()
+    model = Model(sums[0] or 0, sums[1] or 0)
+    if not model.total:
+        return model
 
-    @common.trimmed
-    def contexts(batches):  # ids -1 - level: entries of that level; else occurrences after a context
-        size = VOCABULARY + 2
-        total, by = np.zeros(size, np.int64), np.zeros(64 * 8, np.int64)
-        for batch in batches:
-            for _, keys, n in read(batch):
-                total += np.bincount((keys >> np.uint64(16)).astype(np.int64), n, size).astype(np.int64)
-                by += np.bincount(levels(n), minlength=len(by))
-        has, lev = np.flatnonzero(total), np.flatnonzero(by)
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[has, -1 - lev]), pa.array(np.r_[total[has], by[lev]])], ["id", "n"])
-
-    model.context = np.zeros(VOCABULARY + 2, np.int64)
-    by = np.zeros(64 * 8, np.int64)
-    for i, n in kept.mapInArrow(contexts, "id long, n long").groupBy("id").agg(F.sum("n")).collect():  # at most VOCABULARY + levels rows
-        if i >= 0:
-            model.context[i] = n
-        else:
-            by[-1 - i] = n
-    lowest = 1
-    while (entries := int((by * np.arange(len(by)))[lowest:].sum())) * ENTRY_BITS > FILTER_BITS:
-        lowest += 1
-    model.size = max(64, -(-entries * ENTRY_BITS // CHUNKS // 8) * 8)
-    held = spark.sparkContext.broadcast((model.context, np.r_[np.zeros(2), model.vocabulary_counts], model.total, model.distinct, model.size, lowest))
+    def gains(rows, row, c, of, level):  # leave one out: what each occurrence would get from the others
+        rest = np.minimum(others(level) / np.maximum(1, of - 1), 1.0)
+        p = 10 ** model.base(c)
+        band = np.log2(np.maximum(of, 1)).astype(np.int64)
+        gain = np.concatenate([np.bincount(band, np.log(g * rest + (1 - g) * p), 64) for g in GRID])
+        has = np.flatnonzero(gain)
+        return pa.table({"i": pa.array(has), "gain": pa.array(np.rint(gain[has] * 1000).astype(np.int64))})
 
-    @common.trimmed
-    def build(batches):
-        context, word, total, distinct, size, lowest = held.value
-        for batch in batches:
-            for chunk, keys, n in read(batch):
-                bitmap = np.zeros(size, bool)
-                level = levels(n)
-                for at in range(1, int(level.max(initial=0)) + 1):
-                    for place in _bits(keys[(level >= at) & (level >= lowest)], at, size):
-                        bitmap[place] = True
-                # leave one out: what each occurrence would get from the others
-                of = context[(keys >> np.uint64(16)).astype(np.int64)]
-                rest = np.where(of > 1, (n - 1) / np.maximum(1, of - 1), 0)
-                p = (word[(keys & np.uint64(0xFFFF)).astype(np.int64)] + 0.5) / (total + 0.5 * (distinct + 1))
-                band = np.log2(of).astype(np.int64)
-                gain = [np.bincount(band, n * np.log(g * rest + (1 - g) * p), 64) for g in GRID]
-                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([np.packbits(bitmap, bitorder="little").tobytes()]), pa.array([np.concatenate(gain).astype("<f8").tobytes()])], ["chunk", "bitmap", "gain"])
-
-    model.bitmap = np.zeros(CHUNKS * (model.size // 8), np.uint8)
     gain = np.zeros(len(GRID) * 64)
-    for chunk, bitmap, part in sorted(kept.mapInArrow(build, "chunk int, bitmap binary, gain binary").collect()):  # at most FILTER_BITS bits
-        model.bitmap[chunk * (model.size // 8) : (chunk + 1) * (model.size // 8)] = np.frombuffer(bitmap, np.uint8)
-        gain += np.frombuffer(part, "<f8")
+    for i, x in answered(train, [], held, number, gains, "i long, gain long").groupBy("i").agg(F.sum("gain")).collect():
+        gain[i] = x
     model.weight = GRID[gain.reshape(len(GRID), 64).argmax(axis=0)]
+    _forget(train.sparkSession)
     return model
 
 
 def score(docs: DataFrame, train: DataFrame) -> DataFrame:
     """docs with n_tokens, n_known, train_tokens, base_score and score, by the counts and the model of train (text)."""
-    counts = common.stored(word_counts(train))
-    model = learn(train, counts)
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held, number = shards(train)
+    m = learn(train, held, number)
     keep = [f for f in docs.schema.fields if f.name != "text"]
-    at = docs.columns.index("text")
 
-    @common.trimmed
-    def frequent(batches):
-        m, pid, seen = held.value, TaskContext.get().partitionId(), 0
-        for batch in batches:
-            n = batch.num_rows
-            tokens_n, known, base, full = (np.zeros(n) for _ in range(4))
-            rare_h: list = []
-            rare_n: list = []
-            for first, raw, off in common.slices(batch.column(at)):
-                tokens, row = stream(raw, off)
-                rows = len(off) - 1
-                own, back = np.unique(tokens, return_inverse=True)
-                where = _find(m.words, own)
-                has = (where >= 0)[back]
-                c = np.where(where >= 0, m.counts[np.maximum(where, 0)] if len(m.counts) else 0, 0)[back]
-                word = np.where(has, m.base(c), 0.0)
-                before, mine = pairs(tokens, row, m.vocabulary)
-                of = m.context[before.astype(np.int64)] * (before > 0)
-                weight = np.where(of > 0, m.weight[np.log2(np.maximum(of, 1)).astype(np.int64)], 0.0)
-                gain = np.log10(1 - weight)
-                both = np.flatnonzero((mine > 0) & (weight > 0))
-                keys, again = np.unique(before[both] << np.uint64(16) | mine[both], return_inverse=True)
-                seen_n = np.minimum(decoded(lookup(m.bitmap, m.size, keys))[again], of[both])
-                p = 10.0 ** word[both]
-                gain[both] = np.log10(weight[both] * seen_n / of[both] + (1 - weight[both]) * p) - word[both]
-                part = slice(first, first + rows)
-                tokens_n[part] = np.bincount(row, minlength=rows)
-                known[part] = np.bincount(row, has, rows)
-                base[part] = np.bincount(row, word, rows)
-                full[part] = base[part] + np.bincount(row, gain, rows)
-                key = np.stack([row[~has].astype(np.uint64), tokens[~has]], 1)
-                order = np.lexsort((key[:, 1], key[:, 0]))
-                key = key[order]
-                edge = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)]) if len(key) else np.zeros(0, int)
-                times = np.diff(np.r_[edge, len(key)])
-                ends = np.searchsorted(key[edge, 0], np.arange(rows + 1).astype(np.uint64))
-                h = key[edge, 1].view(np.int64)
-                rare_h += [h[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-                rare_n += [times[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            ids = (np.int64(pid) << 40) + seen + np.arange(n)
-            seen += n
-            cols = [pa.array(ids), *(c for i, c in enumerate(batch.columns) if i != at), pa.array(tokens_n.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(full), pa.array(rare_h, pa.list_(pa.int64())), pa.array(rare_n, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, names)
-
-    names = ["_rid", *(f"_k{i}" for i in range(len(keep))), "_tokens", "_known", "_base", "_full", "_h", "_n"]
-    kinds = ["long", *(f.dataType.simpleString() for f in keep), "long", "long", "double", "double", "array<long>", "array<long>"]
-    part = common.stored(common.batched(docs).mapInArrow(frequent, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True))))
-    rare = part.where(F.size("_h") > 0).select("_rid", F.arrays_zip("_h", "_n").alias("z")).select("_rid", F.explode("z").alias("z")).select("_rid", F.col("z._h").alias("h"), F.col("z._n").alias("n"))
-    c = F.coalesce(F.col("c"), F.lit(0))
-    more = (
-        rare.join(counts.where(F.col("c") < (int(model.counts.min()) if len(model.counts) else 1 << 62)), "h", "left")
-        .groupBy("_rid")
-        .agg(F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("_more_known"), F.sum(F.col("n") * (F.log10(c + 0.5) - F.lit(model.scale))).alias("_more"))
-    )
-    add = F.coalesce(F.col("_more"), F.lit(0.0))
-    return part.drop("_h", "_n").join(more, "_rid", "left").select(
-        *(F.col(f"_k{i}").alias(f.name) for i, f in enumerate(keep)),
-        F.col("_tokens").alias("n_tokens"),
-        (F.col("_known") + F.coalesce("_more_known", F.lit(0))).alias("n_known"),
-        F.lit(model.total).cast("long").alias("train_tokens"),
-        (F.col("_base") + add).alias("base_score"),
-        (F.col("_full") + add).alias("score"),
-    )
+    def scored(rows, row, c, of, level):
+        word = m.base(c)
+        weight = np.where(of > 0, m.weight[np.log2(np.maximum(of, 1)).astype(np.int64)], 0.0)
+        seen = np.minimum(decoded(level), of) / np.maximum(of, 1)
+        full = np.where(weight > 0, np.log10(weight * seen + (1 - weight) * 10.0**word), word)
+        n = rows.num_rows
+        cells = [np.bincount(row, minlength=n), np.bincount(row, c > 0, n).astype(np.int64), np.full(n, m.total), np.bincount(row, word, n), np.bincount(row, full, n)]
+        return pa.table([*(rows.column(i) for i in range(len(keep))), *(pa.array(x) for x in cells)], names=names)
+
+    names = [*(f"_k{i}" for i in range(len(keep))), "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    kinds = [*(f.dataType.simpleString() for f in keep), "long", "long", "long", "double", "double"]
+    return answered(docs, [f.name for f in keep], held, number, scored, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True))).toDF(*(f.name for f in keep), *names[len(keep):])

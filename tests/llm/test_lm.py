@@ -2,6 +2,7 @@ import collections
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,3 +67,18 @@ def test_probabilities_nearly_sum_to_one_and_help(spark):
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
     got = lm.score(docs, docs.where(~fold)).where(fold).agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
     assert got.s > got.b
+
+
+def test_pairs_of_rare_words_count_in_any_number_of_shards_and_blocks(spark, monkeypatch):
+    filler = " ".join(f"w{i} w{i}" for i in range(70000))  # more words than 16 bits number, each more frequent than the pair's
+    train = spark.createDataFrame([(filler,), ("rare1 rare2",)], "text string")
+    docs = spark.createDataFrame([(1, "rare1 rare2"), (2, "rare2 rare1")], "doc_id long, text string")
+    a, b = lm.score(docs, train).orderBy("doc_id").collect()
+    assert a.base_score == pytest.approx(b.base_score)
+    held, number = lm.shards(train)
+    levels = lm.answered(docs, [], held, number, lambda rows, row, c, of, level: pa.table({"n": [int((level > 0).sum())]}), "n long")
+    assert sum(r.n for r in levels.collect()) >= 3  # start, pair and end of document 1
+    monkeypatch.setattr(lm, "SHARDS", 40)
+    monkeypatch.setattr(lm, "BLOCK", 8)
+    again = lm.score(docs, train).orderBy("doc_id").collect()
+    assert [r.base_score for r in again] == pytest.approx([a.base_score, b.base_score])
