@@ -82,3 +82,16 @@ def test_pairs_of_rare_words_count_in_any_number_of_shards_and_blocks(spark, mon
     monkeypatch.setattr(lm, "BLOCK", 8)
     again = lm.score(docs, train).orderBy("doc_id").collect()
     assert [r.base_score for r in again] == pytest.approx([a.base_score, b.base_score])
+
+
+def test_filters_hold_every_pair_at_its_level(spark):
+    train = spark.createDataFrame([(" ".join(f"v{i * 7 % 5000} v{i % 300}" for i in range(20000)),), ("only once",)], "text string")
+    held, number = lm.shards(train)
+    own = [r.text.encode() for r in train.collect()]
+    keys = np.concatenate([lm.pairs(*lm.stream(np.frombuffer(t, np.uint8), np.array([0, len(t)]))) for t in own])
+    keys, n = np.unique(keys, return_counts=True)
+    cuts, rows = lm._cuts(keys, number), {r.shard: r for r in held.collect()}
+    for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        level = lm.levels(n[a:b])
+        assert (lm.lookup(np.frombuffer(rows[i].bitmap, np.uint8), rows[i].size, keys[a:b]) >= level).all()
+        assert len(rows[i].bitmap) * 8 >= level.sum() * lm.ENTRY_BITS
