@@ -166,7 +166,8 @@ def reshard(df: DataFrame, shards: int, old: Column, size: Column, group: Column
 
 
 def rewrite(resharded: DataFrame, path: str) -> None:
-    """Writes the shards that gained or lost rows, each as a folder shard=N under path, and leaves the others' files alone."""
+    """Writes the shards that gained or lost rows, each as a folder shard=N under path, deletes those that lost all of them, and
+    leaves the others' files alone."""
     moved = resharded.where("old_shard is null or old_shard <> shard")
     touched = moved.select(F.col("shard").alias("shard")).union(moved.where("old_shard is not null").select("old_shard")).distinct()
     (
@@ -179,3 +180,7 @@ def rewrite(resharded: DataFrame, path: str) -> None:
         .option("partitionOverwriteMode", "dynamic")
         .parquet(path)
     )
+    spark = resharded.sparkSession
+    for (n,) in touched.join(resharded.select("shard").distinct(), "shard", "left_anti").collect():  # no more than old shards
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/shard={n}")
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

@@ -53,3 +53,12 @@ def test_one_shard_with_all_rows(spark):
     df = spark.range(1001).select("id", F.lit("same").alias("text"))
     got = sharding.reshard(df, 40, F.lit(5), F.lit(20), F.lit(9).cast("long")).groupBy("shard").count().toPandas()["count"]
     assert len(got) == 40 and got.max() - got.min() == 1
+
+
+def test_rewrite_deletes_shards_left_empty(spark, tmp_path):
+    df = spark.range(200).select("id", (F.col("id") % 5).cast("int").alias("old"))
+    at = str(tmp_path / "out")
+    df.withColumnRenamed("old", "shard").write.partitionBy("shard").parquet(at)
+    out = sharding.reshard(df, 4, F.col("old"), F.lit(20), F.col("id")).drop("old")
+    sharding.rewrite(out, at)
+    assert sorted(r.id for r in spark.read.parquet(at).select("id").collect()) == list(range(200))
