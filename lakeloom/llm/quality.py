@@ -116,11 +116,11 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", most: int =
     def bags(batches):
         for batch in batches:
             found = [bag((t or "").encode()) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([f.astype("<i4").tobytes() for f, _ in found], pa.binary()), pa.array([np.minimum(n, 65535).astype("<u2").tobytes() for _, n in found], pa.binary()), batch.column("label")], ["found", "times", "label"])
+            yield pa.RecordBatch.from_arrays([pa.array([f.astype("<i4").tobytes() for f, _ in found], pa.binary()), pa.array([n.astype("<u4").tobytes() for _, n in found], pa.binary()), batch.column("label")], ["found", "times", "label"])
 
     rows = common.batched(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "label")).mapInArrow(bags, "found binary, times binary, label int").collect()
     rows.sort(key=lambda r: zlib.crc32(r.found))
-    return train([(np.frombuffer(r.found, "<i4"), np.frombuffer(r.times, "<u2"), r.label) for r in rows])
+    return train([(np.frombuffer(r.found, "<i4"), np.frombuffer(r.times, "<u4"), r.label) for r in rows])
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:

@@ -46,3 +46,11 @@ def test_odd_rows(spark):
     none = quality.fit(docs, labels.limit(0))
     assert quality.score(docs.drop("score").limit(0), none).count() == 0
     assert abs(quality.score(docs.drop("score"), none).first().score - 0.5) < 1e-9
+
+
+def test_counts_of_long_texts_are_whole(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda rows: seen.extend(rows))
+    docs = spark.createDataFrame([(i, "word " * 70000) for i in range(1, 5)], "doc_id long, text string")
+    quality.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(1, 5)], "doc_id long, quality int"))
+    assert seen and all(times.max() >= 69999 for _, times, _ in seen)
