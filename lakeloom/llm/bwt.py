@@ -7,24 +7,31 @@ owners lie in files of their own, which a round reads once and writes once from
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 import numpy as np
 
 
 class _File:
-    """An array in a file, read and written as a whole from front to back."""
+    """An array in a file, read and written as a whole from front to back. The file stays open and only grows: one that is cut to
+    nothing and written anew each round has its blocks sent to the disk at every close."""
 
-    def __init__(self, folder: str, name: str, dtype) -> None:
-        self.path, self.dtype = os.path.join(folder, name), dtype
-        self.write(np.zeros(0, dtype))
+    def __init__(self, dtype) -> None:
+        self.file, self.dtype = tempfile.TemporaryFile(buffering=0), dtype
 
     def read(self) -> np.ndarray:
-        return np.fromfile(self.path, self.dtype)
+        self.file.seek(0)
+        return np.fromfile(self.file, self.dtype)
 
     def write(self, x: np.ndarray) -> None:
-        x.astype(self.dtype, copy=False).tofile(self.path)
+        self.file.seek(0)
+        x.astype(self.dtype, copy=False).tofile(self.file)
+
+    def __enter__(self) -> "_File":
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.file.close()
 
 
 def _merged(old: np.ndarray, at: np.ndarray, new: np.ndarray) -> np.ndarray:
@@ -42,8 +49,7 @@ def build(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     symbol before it (0 at a string's start), the common prefix with the suffix before, its string and its length."""
     n = len(off) - 1
     size = np.diff(off)
-    with tempfile.TemporaryDirectory() as folder:
-        bwt, lcp = _File(folder, "bwt", np.uint8), _File(folder, "lcp", np.uint8)
+    with _File(np.uint8) as bwt, _File(np.uint8) as lcp:
         # rows 0 to n - 1 are the empty suffixes
         last = np.zeros(n, np.uint8)
         last[size > 0] = raw[off[1:][size > 0] - 1]
