@@ -6,6 +6,7 @@ import atexit
 import ctypes
 import functools
 import gc
+import hashlib
 import tempfile
 import uuid
 
@@ -96,6 +97,12 @@ def starts(counts: DataFrame, key: str, part: str = "pid", n: str = "n") -> Data
     return counts.withColumn("before", F.coalesce(F.sum(n).over(w), F.lit(0)).cast("long"))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values of x, sorted. By sorting: np.unique() alone goes by a hash table, which takes many times as long."""
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+
+
 class LocalRanks:
     """Within one task: the rank of each row among the task's rows of its key. With the counts by (task, key), starts() makes
     these ranks exact over all tasks, and no key's rows ever meet in one task."""
@@ -124,6 +131,8 @@ _LOWER = _TABLE.copy()
 _LOWER[65:91] = _TABLE[97:123]
 _A = np.uint64(0x9E3779B97F4A7C15 | 1)
 _A_INV = np.uint64(pow(int(_A), -1, 2**64))
+#: Words of more bytes are hashed one by one.
+LONG = 128
 #: Bytes 0x09-0x0D and 0x20 part words.
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -194,4 +203,8 @@ def words(raw: np.ndarray, off: np.ndarray, lower: bool = False) -> tuple[np.nda
     total = np.empty(n + 1, np.uint64)
     total[0] = 0
     np.cumsum((_LOWER if lower else _TABLE)[raw] * p, out=total[1:])
-    return s, e, row, mix((total[e] - total[s]) * q[s] + (e - s).astype(np.uint64))
+    hashed = mix((total[e] - total[s]) * q[s] + (e - s).astype(np.uint64))
+    for i in np.flatnonzero(e - s > LONG):  # sums modulo 2**64 have equal values for some pairs of words of 1024 bytes
+        word = raw[s[i] : e[i]].tobytes()
+        hashed[i] = int.from_bytes(hashlib.blake2b(word.lower() if lower else word, digest_size=8).digest(), "little")
+    return s, e, row, hashed
