@@ -55,6 +55,10 @@ class Storage:
     def delete(self, paths: Iterable[str]) -> None:
         raise NotImplementedError
 
+    def modified(self, path: str) -> float | None:
+        """When a file was last written, in milliseconds; None if it is gone."""
+        raise NotImplementedError
+
     def list(self, prefix: str = "") -> list[str]:
         """Paths of all files under a folder, sorted."""
         raise NotImplementedError
@@ -113,6 +117,12 @@ class LocalStorage(Storage):
     def exists(self, path: str) -> bool:
         return os.path.exists(self._at(path))
 
+    def modified(self, path: str) -> float | None:
+        try:
+            return os.path.getmtime(self._at(path)) * 1000
+        except OSError:
+            return None
+
     def delete(self, paths: Iterable[str]) -> None:
         for p in paths:
             at = self._at(p)
@@ -179,6 +189,10 @@ class HadoopStorage(Storage):
         p, fs = self._path(path)
         return fs.exists(p)
 
+    def modified(self, path: str) -> float | None:
+        p, fs = self._path(path)
+        return float(fs.getFileStatus(p).getModificationTime()) if fs.exists(p) else None
+
     def delete(self, paths: Iterable[str]) -> None:
         for path in paths:
             p, fs = self._path(path)
@@ -221,6 +235,29 @@ class ArrowStorage(Storage):
         return sorted(f.path.removeprefix(f"{self._base}/") for f in found if f.is_file and not f.base_name.startswith("."))
 
 
+def copy_files(spark, source: Storage, target: Storage, paths: list[str]) -> None:
+    """Copies files from store to store: on executors where both can be reached without a session, in pieces of bounded size."""
+    known = (LocalStorage, ArrowStorage)
+    if not paths:
+        return
+    if not isinstance(source, known) or not isinstance(target, known):
+        source.copy_to(target, paths)
+        return
+    roots = str(source.root), str(target.root)
+
+    def copy(batches):
+        from pyarrow import fs
+
+        (a, base_a), (b, base_b) = (fs.FileSystem.from_uri(r) for r in roots)
+        for batch in batches:
+            for p in batch.column(0).to_pylist():
+                b.create_dir(os.path.dirname(f"{base_b}/{p}"), recursive=True)
+                fs.copy_files(f"{base_a}/{p}", f"{base_b}/{p}", source_filesystem=a, destination_filesystem=b, chunk_size=1 << 22)
+            yield batch
+
+    spark.createDataFrame([(p,) for p in paths], "path string").repartition(min(len(paths), 256)).mapInArrow(copy, "path string").count()
+
+
 def reading(root: str) -> Storage:
     """A store to read from where there may be no session, as on executors."""
     return LocalStorage(root) if URI(root).scheme == "file" else ArrowStorage(root)

@@ -1,3 +1,4 @@
+import json
 import threading
 import time
 
@@ -5,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakeloom import errors
-from lakeloom.operators import conflicts
+from lakeloom.operators import conflicts, table
 from lakeloom.operators.catalog import CASCADE, SERIALIZABLE, connect
 
 
@@ -170,8 +171,6 @@ def test_files_are_skipped_and_filters_pushed(full, spark):
 
 
 def test_manifests_are_skipped(full, spark, monkeypatch):
-    from lakeloom.operators import table
-
     for k in range(4):
         full.append("ns1.tbl1", rows(spark, 10, 10 * k))
     read, plain = [], table.read_manifest
@@ -198,11 +197,11 @@ def test_schema_changes(full, spark):
     assert sorted((r.id, r.more, r.z) for r in full.table("ns1.tbl1").collect()) == [(0, None, None), (1, None, None), (7, [1, 2], 0.5)]
     full.drop_columns("ns1", "tbl1", "v", "z")
     assert full.table("ns1.tbl1").columns == ["id", "more"]
-    for bad in ("id int", "v string"):
-        with pytest.raises(errors.InvalidArgument):
-            full.add_columns("ns1", "tbl1", bad)
+    with pytest.raises(errors.InvalidArgument):
+        full.add_columns("ns1", "tbl1", "id int")
     full.append("ns1.tbl1", rows(spark, 1, 9).select("id"))
-    assert full.table("ns1.tbl1").count() == 4
+    full.add_columns("ns1", "tbl1", "v string")  # not the one that was dropped
+    assert full.table("ns1.tbl1").count() == 4 and full.table("ns1.tbl1").where("v is not null").count() == 0
     ids = [f["metadata"]["id"] for f in full.describe_table("ns1", "tbl1")["schema"]["fields"]]
     assert len(set(ids)) == len(ids)
 
@@ -258,9 +257,10 @@ def test_export_expire_collect(full, spark, tmp_path):
     held = full.begin(id="held")
     held.append("ns1.tbl1", rows(spark, 2))
     held.save()
-    assert full.unreachable() == []
+    assert all(p.startswith("meta/l-") for p in full.unreachable())  # lists of what is not committed; they are made again
     full.expire()
-    gone = full.collect_garbage()
+    assert full.collect_garbage() == 0  # all files are younger than a transaction may be
+    gone = full.collect_garbage(older_than_millis=0)
     assert gone > 0 and full.unreachable() == [] and full.table("ns1.tbl1").count() == 1
     full.load_distributed("held").commit()
     assert full.table("ns1.tbl1").count() == 3
@@ -435,3 +435,63 @@ def test_conflict_frames(spark):
     b = spark.createDataFrame([("k1", "TABLE_INSERT"), ("k2", "TABLE_DELETE"), ("k3", "TABLE_DROP"), ("k4", "TABLE_DROP")], "object_key string, type string")
     got = {(r.object_key, r.verdict) for r in conflicts.analyse(a, b).collect()}
     assert got == {("k1", "unresolvable"), ("k2", "resolvable")}
+
+
+def test_garbage_beside_an_open_transaction(full, spark):
+    full.append("ns1.tbl1", rows(spark, 3))
+    txn = full.begin()
+    txn.append("ns1.tbl1", rows(spark, 4))
+    full.expire()
+    full.collect_garbage()
+    txn.commit()
+    assert full.table("ns1.tbl1").count() == 7
+    late = full.begin()
+    late.append("ns1.tbl1", rows(spark, 1))
+    full.collect_garbage(older_than_millis=0)
+    with pytest.raises(errors.CommitConflict):
+        late.commit()  # its files are gone; the table stays readable
+    assert full.table("ns1.tbl1").count() == 7
+    with pytest.raises(errors.InvalidArgument):
+        full.begin(ttl_millis=10**12)
+
+
+def test_many_appends_keep_a_commit_small(full, spark, monkeypatch):
+    """Commits of prepared manifests: what a commit writes does not grow with their number."""
+    entry = {"path": "file:///nowhere/x.parquet", "rows": 1, "bytes": 1, "partition": "{}", "low": '{"id": 1}', "high": '{"id": 2}'}
+    written = []
+    plain = type(full.storage).create
+    monkeypatch.setattr(type(full.storage), "create", lambda s, p, d: written.append((p, len(d))) or plain(s, p, d))
+    sizes = []
+    for i in range(600):
+        written.clear()
+        m = table.write_manifest(full.storage, [{**entry, "path": f"file:///nowhere/{i}.parquet"}])
+        with full.transaction() as txn:
+            txn._do("TABLE_INSERT", "table", "table", ("ns1", "tbl1"), {"op": "append", "manifests": [m], "summary": {"files": 1, "rows": 1}})
+        sizes.append(sum(n for _, n in written))
+    found = full.describe_table("ns1", "tbl1")
+    assert len(table.files(full.storage, found)) == 600 and len(table.snapshots(full.storage, found)) == 600
+    assert len(table.manifests(full.storage, table.snapshot_of(full.storage, found))) < 3 * table.FAN
+    assert len(json.dumps(found)) < 20_000 and sorted(sizes[-100:])[50] < 1.5 * sorted(sizes[100:200])[50]
+    assert table.snapshot_of(full.storage, found, 17)["id"] == 17
+
+
+def test_columns_are_known_by_ids(full, spark):
+    full.append("ns1.tbl1", rows(spark, 3))
+    first = full.table("ns1.tbl1").columns
+    full.rename_column("ns1", "tbl1", first[0], "renamed")
+    assert full.table("ns1.tbl1", where="renamed is not null").columns == ["renamed", *first[1:]] and full.table("ns1.tbl1").where("renamed is not null").count() == 3
+    full.add_columns("ns1", "tbl1", f"{first[0]} string")  # the old name, for a column of its own
+    assert full.table("ns1.tbl1").where(f"{first[0]} is not null").count() == 0
+    full.drop_columns("ns1", "tbl1", first[0])
+    full.add_columns("ns1", "tbl1", f"{first[0]} string")
+    full.update("ns1.tbl1", {first[0]: "'x'"}, "renamed is not null")
+    assert full.table("ns1.tbl1", where=f"{first[0]} = 'x'").count() == 3
+    full.delete("ns1.tbl1", f"{first[0]} = 'x'")
+    assert full.table("ns1.tbl1").count() == 0
+
+
+def test_transforms():
+    assert [table.transform(s) for s in ("a", "`a`", "days(b)", "bucket(16, c)", "bucket(c, 16)", "Truncate(2, d)")] == [("identity", None, "a"), ("identity", None, "a"), ("day", None, "b"), ("bucket", 16, "c"), ("bucket", 16, "c"), ("truncate", 2, "d")]
+    for bad in ("", "days()", "bucket(c)", "days(3, c)", "weeks(c)", "bucket(0, c)"):
+        with pytest.raises(errors.InvalidArgument):
+            table.transform(bad)

@@ -1,8 +1,10 @@
 import pytest
+from pyspark.sql.types import StructType
 
 from lakeloom import errors
+from lakeloom.operators import table
 from lakeloom.operators.catalog import connect
-from lakeloom.plans import pruning
+from lakeloom.plans import pruning, session
 from lakeloom.plans import sql as front
 from lakeloom.sources import nodes
 from lakeloom.streaming import versions
@@ -119,13 +121,79 @@ def test_references():
         front.references("select * from alone")
 
 
-def test_pruning():
-    assert pruning.comparisons("a > 5 and b = 'x and y' and c between 1 and 2 and f(d) = 3") == [("a", ">", 5), ("b", "=", "x and y"), ("c", ">=", 1), ("c", "<=", 2)]
-    for none in (None, "", "a > 5 or b = 1", "not a = 1", "(a = 1)"):
-        assert pruning.comparisons(none) == []
+def test_comparisons(spark):
+    schema = StructType.fromDDL("a int, b string, c double, d date, f timestamp, g decimal(10,2)")
+    found = lambda c: sorted(pruning.comparisons(spark, schema, c), key=str)
+    assert found("a > 5 and b = 'x and y' and c between 1 and 2 and abs(a) = 3") == [("a", ">", 5), ("b", "=", "x and y"), ("c", "<=", 2.0), ("c", ">=", 1.0)]
+    assert found("d >= '2020-1-5'") == [("d", ">=", 18266)] and found(r"b = 'a\tb'") == [("b", "=", "a\tb")] and found("7 < a") == [("a", ">", 7)]
+    assert found("f = timestamp '1970-01-01 01:00:00+01:00'") == [("f", "=", 0)] and found("a in (1, 2, null)") == [] and found("a in (1, 2)") in ([("a", "in", [1, 2])], [("a", "in", [2, 1])])
+    for none in (None, "true", "a > 5 or b = 'x'", "not a = 1", "g = 1", "b = 5", "a = null", "rand() < 0.5"):
+        assert found(none) == [], none
+
+
+def test_pruning(spark):
+    schema = StructType.fromDDL("a int, s string, t timestamp_ntz, u int")
     low, high = {"a": 1, "s": "b", "t": "2020-01-01 00:00:00"}, {"a": 9, "s": "d", "t": "2020-02-01 00:00:00"}
-    for text, want in (("a = 10", False), ("a = 9", True), ("a < 1", False), ("a <= 1", True), ("a > 9", False), ("s = 'c'", True), ("s > 'd'", False), ("t > date '2020-02-01'", True), ("t >= date '2020-02-02'", False), ("u = 1", True), ("a = 'x'", True)):
-        assert pruning.may_match(low, high, pruning.comparisons(text)) == want, text
+    kinds = {f.name: f.dataType for f in schema}
+    for text, want in (("a = 10", False), ("a = 9", True), ("a < 1", False), ("a <= 1", True), ("a > 9", False), ("s = 'c'", True), ("s > 'd'", False), ("t > date '2020-01-31'", True), ("t >= date '2020-02-02'", False), ("u = 1", True), ("a in (10, 11)", False), ("a in (10, 9)", True)):
+        assert pruning.may_match(low, high, pruning.comparisons(spark, schema, text), kinds) == want, text
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_scan_equals_an_unpruned_scan(spark, tmp_path, zone):
+    """Many small files, so that nearly every one can be left out, against Spark's own filter over all rows."""
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        cat = connect(spark, str(tmp_path), create=True)
+        cat.create_namespace("n")
+        df = spark.range(400).selectExpr(
+            "cast(id as int) as i", "cast(id % 7 as double) / 2 as x", "if(id % 50 = 0, null, concat('k\t', id % 40)) as s", "date_add(date '2019-12-20', cast(id as int)) as d",
+            "timestamp_millis(id * 3600000) as t", "cast(date '2020-01-01' as timestamp_ntz) + make_interval(0, 0, 0, 0, cast(id as int)) as n", "cast(id as decimal(12, 2)) as p", "id % 2 = 0 as b",
+        )
+        cat.create_table("n", "t", df.schema, ["truncate(20, i)"])
+        cat.append("n.t", df)
+        plain = cat.table("n.t").cache()
+        for c in (
+            "d >= '2020-1-5'", "d = '2020-1-5'", "d < date '2020-01-01' + interval 1 day", "t >= '1970-01-02'", "t < timestamp '1970-01-02 00:00:00'", "t = timestamp '1970-01-03 05:00:00+02:00'",
+            "n > '2020-01-04 05:00'", "n <= date '2020-01-03'", r"s = 'k\t5'", "s = 'k\t5'", "s like 'k%'", "s > 'k'", "s is null", "s <=> 'k\t7'", "i = 3.0", "i > 100.5", "i < 5000000000", "i in (1, 399)",
+            "x = 1.5", "x = 'NaN'", "p = 17", "p between 3 and 9.5", "b", "not b", "i > 10 and (d < '2020-01-20' or i = 300)", "cast(i as string) = '7'", "i between 390 and 1000", "10 >= i", "d in ('2020-01-01', '2020-2-1')",
+        ):
+            assert sorted(r.i for r in cat.table("n.t", ["i"], c).collect()) == sorted(r.i for r in plain.where(c).collect()), c
+        listed = table.files(cat.storage, cat.describe_table("n", "t"), condition="d = '2020-1-5'")
+        assert len(listed) == 1 < len(table.files(cat.storage, cat.describe_table("n", "t")))
+        cat.delete("n.t", r"s = 'k\t5'")
+        assert cat.table("n.t").where(plain.s == "k\t5").count() == 0 and cat.table("n.t").count() == 390
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_describe_and_column_statements(cat, spark):
+    cat.sql("create database dd with dbproperties ('x' = 'y')")
+    cat.sql("create table dd.t (id int, day timestamp_ntz, v float) partitioned by (days(day), bucket(4, id))")
+    assert [tuple(r)[:2] for r in cat.sql("describe dd.t").collect()][0] == ("id", "int") and ("Namespace", "dd") in values(cat.sql("describe database dd"))
+    assert any(r[0] == "# Partitioned by" and r[1] == "days(day),bucket(4, id)" for r in values(cat.sql("describe table extended dd.t")))
+    cat.sql("alter table dd.t rename column day to moment")
+    cat.sql("alter table dd.t alter column v type double")
+    assert cat.describe_table("dd", "t")["partition_by"] == ["days(moment)", "bucket(4, id)"] and cat.table("dd.t").dtypes[1:] == [("moment", "timestamp_ntz"), ("v", "double")]
+    for bad in ("alter table dd.t alter column v type int", "alter table dd.t rename column none to x", "alter table dd.t rename column v to id", "alter table dd.t add partition field days(nothing)", "alter table dd.t drop column moment"):
+        with pytest.raises(errors.InvalidArgument):
+            cat.sql(bad)
+
+
+def test_session_statements(cat, spark):
+    session.attach(spark, cat, "lake")
+    try:
+        spark.sql("create database lake.ss")
+        spark.sql("begin")
+        spark.sql("create table lake.ss.t (id int, s string)")
+        spark.sql("insert into lake.ss.t values (1, 'lake.ss.t')")
+        assert spark.sql("select 1 as one").first().one == 1
+        spark.sql("commit")
+        assert values(spark.sql("select s from lake.ss.t")) == [("lake.ss.t",)]
+    finally:
+        session.detach(spark)
+    assert "sql" not in spark.__dict__
 
 
 def test_node_source(cat, spark):
