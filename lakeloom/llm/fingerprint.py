@@ -1,32 +1,45 @@
 """Document fingerprints: a Merkle tree over paragraphs and sections.
 
-A paragraph is a line with its line end; its digest is the SHA-256 of its bytes. A section is a run of paragraphs that ends after
-one whose digest starts with three zero bits, so that edits move section bounds only near them; its digest is that of its
-paragraphs' digests, and the root that of the sections'. Equal roots mean equal texts. Below each paragraph the fingerprint keeps
-a short mark for each chunk of words (a chunk ends after a word whose hash is 0 modulo CHUNK), so two fingerprints alone
-tell which sections, paragraphs and chunks differ and how alike two texts are.
-
-A fingerprint is the root in hex, a colon, and the marks: MARK characters a chunk, a comma between paragraphs, a semicolon between
-sections. Likeness is 1 for equal roots, else twice the shared marks over all marks of both, below 1.
-
-Null text: empty, no paragraph. Null ids come first in order; ties of ids are ordered by the text's hash. A single row is followed
-by itself. Empty table: no rows. Repeated rows: each for itself. Other columns: not read.
+A paragraph is a line with its line end; its digest is the start of the SHA-256 of its bytes. A section is a run of paragraphs that
+ends after one whose SHA-256 starts with three zero bits, so that edits move section bounds only near them; its digest is that of its
+paragraphs' digests, and the root that of the sections'. All of them stand in the fingerprint, so that two fingerprints alone
+tell whether texts are equal (the roots), which sections differ, and in these which paragraphs; and each digest can be checked
+against those below it. Below a paragraph stands a short mark for each chunk of its words (a chunk ends after a word whose hash
+is 0 modulo CHUNK), so that likeness doesn't end at paragraphs.
+
+A fingerprint is the root in hex, a colon, and the sections between semicolons: a digest, a colon, and the paragraphs between commas, each
+a digest and then MARK characters a chunk. Likeness goes down the tree: equal sections count with all their chunks, then equal
+paragraphs of the other sections, then equal chunks of the other paragraphs. It is 1 for equal roots, else twice the shared chunks
+over those of both, below 1.
+
+Null text: empty, no paragraph. Null ids come first in order; ties of ids are ordered by the text's hash, equal rows in any order. A
+single row is followed by itself. Very long texts: read whole. Empty table: no rows. Repeated rows: each for itself. Ids: of any type
+that orders. Names that clash with the new column: both are returned, the caller's first; other columns are not read.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
+from bisect import bisect_right
+from collections import Counter
+from difflib import SequenceMatcher
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StringType, StructField, StructType
 
 from . import common
 
 CHUNK, MARK = 6, 5
+#: Bytes of a section's or paragraph's digest in a fingerprint, and characters.
+DIGEST = 9
+_WIDE = DIGEST * 4 // 3
+#: Rows that are sampled to deal rows by ranges, for each range.
+SAMPLED = 30
 _LETTERS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", np.uint8)
 
 
@@ -48,68 +61,120 @@ def chunks(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return end, common.mix((total[end] - total[begin]) * q[begin] + (end - begin).astype(np.uint64))
 
 
+def _text(digest: bytes) -> str:
+    return base64.urlsafe_b64encode(digest[:DIGEST]).decode()
+
+
+def _above(digests: list[str]) -> bytes:
+    """The digest of what stands over these."""
+    return hashlib.sha256("".join(digests).encode()).digest()
+
+
 class Tree:
-    """The Merkle tree of one text: root, sections (digest, paragraphs) and the marks of chunks."""
+    """A fingerprint's tree: root, and sections as (digest, [(paragraph's digest, its marks), ...])."""
+
+    def __init__(self, root: str, sections: list[tuple[str, list[tuple[str, str]]]]) -> None:
+        self.root, self.sections = root, sections
 
-    def __init__(self, data: bytes) -> None:
-        raw = np.frombuffer(data, np.uint8)
+    @classmethod
+    def of(cls, data: bytes) -> Tree:
         lines = data.split(b"\n")
         paragraphs = [x + b"\n" for x in lines[:-1]] + ([lines[-1]] if lines[-1] else [])
-        end, hashed = chunks(raw) if data else (np.zeros(0, int), np.zeros(0, np.uint64))
-        self.marks = hashed >> np.uint64(64 - 6 * MARK)
+        end, hashed = chunks(np.frombuffer(data, np.uint8)) if data else (np.zeros(0, int), np.zeros(0, np.uint64))
         shifts = np.arange(MARK, dtype=np.uint64) * np.uint64(6)
-        text = _LETTERS[(self.marks[:, None] >> shifts & np.uint64(63)).astype(np.intp)].tobytes().decode()
-        bounds = np.r_[0, np.searchsorted(end, np.cumsum([len(x) for x in paragraphs]), "right")] * MARK
-        sections, digests, parts, held, body = [], [], [], hashlib.sha256(), []
+        marks = _LETTERS[((hashed >> np.uint64(64 - 6 * MARK))[:, None] >> shifts & np.uint64(63)).astype(np.intp)].tobytes().decode()
+        bounds = (np.r_[0, np.searchsorted(end, np.cumsum([len(x) for x in paragraphs]), "right")] * MARK).tolist()
+        sections, held = [], []
         for k, x in enumerate(paragraphs):
             digest = hashlib.sha256(x).digest()
-            held.update(digest)
-            parts.append(text[bounds[k] : bounds[k + 1]])
+            held.append((_text(digest), marks[bounds[k] : bounds[k + 1]]))
             if digest[0] < 32 or k == len(paragraphs) - 1:
-                digests.append(held.digest())
-                body.append(",".join(parts))
-                sections.append(parts)
-                parts, held = [], hashlib.sha256()
-        self.root = hashlib.sha256(b"".join(digests)).hexdigest()
-        self.text = f"{self.root}:{';'.join(body)}"
+                sections.append((_text(_above([d for d, _ in held])), held))
+                held = []
+        return cls(_above([d for d, _ in sections]).hex(), sections)
+
+    @classmethod
+    def read(cls, fingerprint: str) -> Tree:
+        root, _, body = fingerprint.partition(":")
+        sections = []
+        for s in body.split(";") if body else ():
+            digest, _, parts = s.partition(":")
+            sections.append((digest, [(p[:_WIDE], p[_WIDE:]) for p in parts.split(",")]))
+        return cls(root, sections)
+
+    @property
+    def text(self) -> str:
+        return f"{self.root}:" + ";".join(f"{d}:" + ",".join(p + m for p, m in ps) for d, ps in self.sections)
+
+    def holds(self) -> bool:
+        """Whether every digest is that of the digests below it."""
+        return self.root == _above([d for d, _ in self.sections]).hex() and all(d == _text(_above([p for p, _ in ps])) for d, ps in self.sections)
+
+
+def _marks(paragraphs) -> Counter:
+    return Counter(m[i : i + MARK] for _, m in paragraphs for i in range(0, len(m), MARK))
+
+
+def _apart(a: list, b: list, key) -> tuple[list, list, list]:
+    """What of a has an equal in b, one for one, and what is left of both."""
+    free = Counter(map(key, b))
+    both, left = [], []
+    for x in a:
+        if free[key(x)]:
+            free[key(x)] -= 1
+            both.append(x)
+        else:
+            left.append(x)
+    rest = []
+    for x in reversed(b):
+        if free[key(x)]:
+            free[key(x)] -= 1
+            rest.append(x)
+    return both, left, rest[::-1]
 
 
 def likeness(a: Tree, b: Tree) -> float:
     if a.root == b.root:
         return 1.0
-    if not len(a.marks) or not len(b.marks):
-        return 0.0
-    both = np.concatenate([np.unique(a.marks, return_index=False), np.unique(b.marks)])
-    if len(np.unique(both)) == len(both):
-        return 0.0
-    ka, na = np.unique(a.marks, return_counts=True)
-    kb, nb = np.unique(b.marks, return_counts=True)
-    _, i, j = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
-    return min(2 * int(np.minimum(na[i], nb[j]).sum()) / (len(a.marks) + len(b.marks)), 1 - 1e-9)
-
-
-def differing(a: str, b: str) -> list[tuple[int, int]]:
-    """Of two fingerprints: (section, paragraph) of a whose paragraph's marks stand nowhere in b; none if roots agree."""
-    (ra, _, xa), (rb, _, xb) = a.partition(":"), b.partition(":")
-    if ra == rb:
+    size = lambda ps: sum(len(m) for _, m in ps) // MARK
+    total = sum(size(ps) for t in (a, b) for _, ps in t.sections)
+    both, left, right = _apart(a.sections, b.sections, lambda s: s[0])
+    shared = sum(size(ps) for _, ps in both)
+    both, left, right = _apart([p for _, ps in left for p in ps], [p for _, ps in right for p in ps], lambda p: p[0])
+    shared += size(both) + (_marks(left) & _marks(right)).total()
+    return min(2 * shared / total, 1 - 1e-9) if total else 0.0
+
+
+def differing(a: str, b: str) -> list[tuple[str, int, int, int, int]]:
+    """What turns the text of fingerprint a into that of b, from the root down: (kind, first and end paragraph of a, first and end
+    paragraph of b), kind being delete, insert or replace; paragraphs are numbered from 0 through the text. None if roots agree."""
+    ta, tb = Tree.read(a), Tree.read(b)
+    if ta.root == tb.root:
         return []
-    sections = set(xb.split(";"))
-    paragraphs = {p for s in sections for p in s.split(",")}
-    return [(i, j) for i, s in enumerate(xa.split(";")) if s not in sections for j, p in enumerate(s.split(",")) if p and p not in paragraphs]
+    starts = [np.r_[0, np.cumsum([len(ps) for _, ps in t.sections])].astype(int).tolist() for t in (ta, tb)]
+    out = []
+    for kind, i, j, k, l in SequenceMatcher(None, [d for d, _ in ta.sections], [d for d, _ in tb.sections], autojunk=False).get_opcodes():
+        if kind == "equal":
+            continue
+        # only sections that differ are opened
+        mine, other = ([d for _, ps in t.sections[x:y] for d, _ in ps] for t, x, y in ((ta, i, j), (tb, k, l)))
+        for what, p, q, r, s in SequenceMatcher(None, mine, other, autojunk=False).get_opcodes():
+            if what != "equal":
+                out.append((what, starts[0][i] + p, starts[0][i] + q, starts[1][k] + r, starts[1][k] + s))
+    return out
 
 
 def fingerprints(docs: DataFrame, column: str = "text") -> DataFrame:
-    """docs with `fingerprint`."""
-    at = docs.columns.index(column)
-    names = docs.columns
+    """docs with `fingerprint`, last."""
+    at, names = docs.columns.index(column), docs.columns
 
     @common.trimmed
     def run(batches):
         for batch in batches:
-            marks = [Tree((x or "").encode()).text for x in batch.column(at).to_pylist()]
+            marks = [Tree.of((x or "").encode()).text for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.string())], [f"c{i}" for i in range(len(names) + 1)])
 
-    schema = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema)) + f", c{len(names)} string"
+    schema = StructType([*(StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema)), StructField(f"c{len(names)}", StringType())])
     return common.batched(docs.toDF(*(f"c{i}" for i in range(len(names))))).mapInArrow(run, schema).toDF(*names, "fingerprint")
 
 
@@ -117,28 +182,35 @@ def against_next(docs: DataFrame) -> DataFrame:
     """For each document (doc_id, text) its fingerprint, that of its edited text (the second half of its code points replaced by
     the first as many of the next document by id) and the likeness to the edited text and to the next document.
 
-    Rows are dealt by ranges of ids, one shuffle of the texts; the first document of each range also goes to the range before."""
-    spark = docs.sparkSession
-    low = -(1 << 63)
-    rows = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(low)).alias("k"))
-    many = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = rows.where("doc_id is not null").agg(F.percentile_approx("k", [i / many for i in range(1, many)], 20 * many)).first()[0] or []  # as many as ranges
-    bounds = np.unique(np.array(bounds, np.int64))
-
-    @F.pandas_udf("int")
-    def range_of(k: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, k.to_numpy(), "right").astype(np.int32))
-
-    heads = sorted(rows.select("k").groupBy(range_of("k").alias("r")).agg(F.min("k").alias("k")).collect())  # one row a range
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = schema.replace("doc_id long", f"doc_id {kind}", 1)
-    if not heads:
+    Rows are dealt by ranges of id, text hash and input position, so that rows of one id, and equal rows, spread as well; one
+    shuffle of the texts. The first document of each range also goes to the range before. A bounded sample picks the ranges' bounds."""
+    spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType
+    schema = StructType([StructField("doc_id", kind), *StructType.fromDDL("n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")])
+    rows = docs.select("doc_id", "text").select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("s"))
+    many, total = 4 * int(spark.conf.get("spark.sql.shuffle.partitions")), docs.count()
+    if not total:
         return spark.createDataFrame([], schema)
-    before = spark.createDataFrame([(h.k, heads[i - 1].r) for i, h in enumerate(heads)], "k long, r int")
-    first = rows.join(F.broadcast(before), "k").select("doc_id", "text", "k", "r", F.lit(True).alias("head"))
-    dealt = rows.select("doc_id", "text", "k", range_of("k").alias("r"), F.lit(False).alias("head")).unionByName(first)
-    dealt = dealt.repartition("r").sortWithinPartitions("r", "head", "k", F.xxhash64("text"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("h").asc(), F.col("s").asc()]
+    sample = rows.select("doc_id", "h", "s").sample(min(1.0, SAMPLED * many / total), seed=3).orderBy(*order).collect()  # SAMPLED rows a range
+    bounds = sorted({max(0, len(sample) * i // many) for i in range(1, many)}) if sample else []
+    bounds = [tuple(sample[i]) for i in bounds if i < len(sample)]
+    kinds = StructType([StructField("doc_id", kind), StructField("h", StructType.fromDDL("h long")[0].dataType), StructField("s", StructType.fromDDL("s long")[0].dataType)])
+    key = lambda d, h, s: (d is not None, 0 if d is None else d, h, s)
+    edges = [key(*x) for x in bounds]
+
+    @F.arrow_udf("int")
+    def range_of(d: pa.Array, h: pa.Array, s: pa.Array) -> pa.Array:  # a bound is in the range that it begins
+        return pa.array([bisect_right(edges, key(*x)) for x in zip(d.to_pylist(), h.to_pylist(), s.to_pylist(), strict=True)], pa.int32())
+
+    ranged = rows.withColumn("r", range_of("doc_id", "h", "s"))
+    me = F.struct(F.col("doc_id").isNotNull().alias("x"), "doc_id", "h", "s")
+    heads = sorted(((r.r, r.least) for r in ranged.select("r", me.alias("me")).groupBy("r").agg(F.min("me").alias("least")).collect()), key=lambda x: x[0])  # one row a range
+    before = spark.createDataFrame([(least.doc_id, least.h, least.s, heads[i - 1][0]) for i, (_, least) in enumerate(heads)], StructType([*kinds, StructField("to", StructType.fromDDL("r int")[0].dataType)]))
+    before = F.broadcast(before.withColumnsRenamed({"doc_id": "b_id", "h": "b_h", "s": "b_s"}))
+    same = (F.col("s") == F.col("b_s")) & (F.col("h") == F.col("b_h")) & F.col("doc_id").eqNullSafe(F.col("b_id"))
+    first = ranged.join(before, same).select("doc_id", "text", "h", "s", F.col("to").alias("r"), F.lit(True).alias("head"))
+    dealt = ranged.select("doc_id", "text", "h", "s", "r", F.lit(False).alias("head")).unionByName(first)
+    dealt = dealt.repartition("r").sortWithinPartitions("r", "head", *order).select("doc_id", "text", "r", "head")
 
     @common.trimmed
     def pair(batches):
@@ -146,24 +218,21 @@ def against_next(docs: DataFrame) -> DataFrame:
             doc, text, tree = mine
             half = len(text) // 2
             edited = (text[: len(text) - half] + after[1][:half]).encode()
-            other = Tree(edited)
+            other = Tree.of(edited)
             out.append((doc, len(text), hashlib.sha256(edited).hexdigest(), tree.text, other.text, likeness(tree, other), likeness(tree, after[2])))
 
         kept = None  # (range, the row that waits for its next one)
         for batch in batches:
             out: list = []
-            for doc, text, r, head in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3, 4)), strict=True):
+            for doc, text, r, head in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if kept and kept[0] != r:
                     kept = None
-                if head and not kept:
-                    continue  # a range's further rows of the same id
-                mine = (doc, text or "", Tree((text or "").encode()))
+                mine = (doc, text or "", Tree.of((text or "").encode()))
                 if kept:
                     finish(kept[1], mine)
                 kept = None if head else (r, mine)
-            cols = zip(*out, strict=True) if out else [[] for _ in kinds]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
+            cols = zip(*out, strict=True) if out else [[] for _ in types]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], schema.fieldNames())
 
-    kinds = [to_arrow_type(docs.schema["doc_id"].dataType), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    types = [to_arrow_type(kind), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
     return common.batched(dealt).mapInArrow(pair, schema)
