@@ -7,12 +7,17 @@ whose bin provably can stand in some best packing is fixed and taken out, with i
 by best fit, longest first, again by whole multiplicities. The result is a list of patterns with counts. Executors turn it
 into places by each piece's exact rank among the pieces of its length.
 
-Null text: empty, one end id. Empty table: no rows. Repeated rows: packed each for itself. Other columns: not read. Ties between
-pieces of a length: by input partition and order in it.
+Texts that name special tokens get those tokens' ids, as the tokenizer's own file says, if they are passed; else they are ordinary text.
+
+Null text: empty, one end id. Null ids: packed as any. Very long texts: cut in pieces, the first one shorter. Empty table: no rows.
+Repeated rows: packed each for itself. Other columns: not read, whatever their names. Ties between pieces of a length: by
+input partition and order in it.
 """
 
 from __future__ import annotations
 
+import functools
+import json
 import zlib
 from bisect import bisect_right, insort
 
@@ -142,7 +147,13 @@ def solve(count: np.ndarray) -> dict[str, np.ndarray]:
     return {k: np.array([x[i] for x in runs], np.int64) for i, k in enumerate(("length", "rank", "times", "base", "at"))}
 
 
-def tokenised(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = CAPACITY, end_id: int = 0, with_ids: bool = False) -> DataFrame:
+def special_tokens(json_path: str) -> dict[str, int]:
+    """The special tokens of a tokenizer's JSON file: strings that are one id wherever a text has them."""
+    with open(json_path) as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"] if t["special"]}
+
+
+def tokenised(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = CAPACITY, end_id: int = 0, with_ids: bool = False, special: dict[str, int] | None = None) -> DataFrame:
     """A row for each piece: doc_id, piece, start, length, ids_crc32, pid, local (rank among the task's pieces of that length), ids."""
 
     @common.trimmed
@@ -153,7 +164,8 @@ def tokenised(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = CA
 
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        held = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special or {})
+        encode = functools.partial(held.encode, allowed_special="all", disallowed_special=()) if special else held.encode_ordinary
         local, pid = common.LocalRanks(), TaskContext.get().partitionId()
         for batch in batches:
             doc, piece, start, length, crc, kept = [], [], [], [], [], []
@@ -182,11 +194,11 @@ def tokenised(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = CA
     return common.batched(docs.select("doc_id", "text")).mapInArrow(pieces, schema)
 
 
-def pack(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = CAPACITY, end_id: int = 0, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = CAPACITY, end_id: int = 0, with_ids: bool = False, special: dict[str, int] | None = None) -> DataFrame:
     """Packs documents (doc_id, text) into sequences of at most `capacity` tokens: doc_id, piece, start, length, ids_crc32,
     sequence_id, offset and, if asked for, the ids of the piece."""
     spark = docs.sparkSession
-    found = common.stored(tokenised(docs, ranks_path, pattern, capacity, end_id, with_ids))
+    found = common.stored(tokenised(docs, ranks_path, pattern, capacity, end_id, with_ids, special))
     counts = found.groupBy("pid", "length").agg(F.count("*").alias("n"))
     histogram = np.zeros(capacity + 1, np.int64)
     for length, n in counts.groupBy("length").agg(F.sum("n")).collect():  # at most `capacity` rows
