@@ -2,7 +2,8 @@
 
 Samples are resampled by a windowed-sinc filter of which each output uses the one phase it needs, cut in overlapping Hann
 frames, and turned into log energies of mel bands. Frames of a clip are stored as tensors of a fixed shape (CHUNK frames by MELS
-bands, the last one padded with the floor) with the span of time each covers. Segments begin where the frame energy rises over
+bands, the last one padded with the floor) with the span of time each covers: an Arrow stream in a binary column, its tensors of
+Arrow's fixed-shape type. Segments begin where the frame energy rises over
 an upper threshold and end where it falls below a lower one, both over the clip's own noise floor. Clips are worked on in
 runs of frames, so memory does not grow with a clip's length.
 
@@ -129,6 +130,25 @@ def tensors(mels: np.ndarray) -> np.ndarray:
     return out.reshape(n, CHUNK, MELS)
 
 
+def stored_tensors(mels: np.ndarray) -> bytes:
+    """The tensors of a clip with the time each covers, as an Arrow stream."""
+    held, second = tensors(mels), HOP / TO_RATE
+    first = np.arange(len(held)) * CHUNK
+    last = np.minimum(first + CHUNK, len(mels)) - 1
+    flat = pa.FixedSizeListArray.from_arrays(pa.array(held.ravel()), CHUNK * MELS)
+    columns = [pa.array(first * second), pa.array(last * second + FRAME / TO_RATE), pa.ExtensionArray.from_storage(_TENSORS.field("tensor").type, flat)]
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, _TENSORS) as f:
+        f.write_batch(pa.RecordBatch.from_arrays(columns, schema=_TENSORS))
+    return sink.getvalue().to_pybytes()
+
+
+def read_tensors(stored: bytes) -> pa.Table:
+    """(start_s, end_s, tensor) of a stored clip; the last column is Arrow's fixed-shape tensor type."""
+    with pa.ipc.open_stream(stored) as f:
+        return f.read_all()
+
+
 def summary(mels: np.ndarray, energy: np.ndarray, spans: np.ndarray) -> str:
     means = ",".join(f"{v:.2f}" for v in mels.mean(axis=0))
     return f"frames={len(mels)};db={energy.mean():.2f};segments={len(spans)};voiced={int((spans[:, 1] - spans[:, 0]).sum())};mel={means}"
@@ -136,9 +156,9 @@ def summary(mels: np.ndarray, energy: np.ndarray, spans: np.ndarray) -> str:
 
 _SCHEMAS = {
     "n_bytes": "long", "payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media": "binary", "media_bytes": "long", "media_sha256": "string", "feature": "string",
-    "tensors": "array<struct<start_s: double, end_s: double, shape: array<int>, values: array<float>>>", "segments": "array<struct<start_s: double, end_s: double>>",
+    "tensors": "binary", "segments": "array<struct<start_s: double, end_s: double>>",
 }
-_TENSORS = pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64()), ("shape", pa.list_(pa.int32())), ("values", pa.list_(pa.float32()))]))
+_TENSORS = pa.schema([("start_s", pa.float64()), ("end_s", pa.float64()), ("tensor", pa.fixed_shape_tensor(pa.float32(), [CHUNK, MELS], dim_names=["frame", "band"]))])
 _SEGMENTS = pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))
 COLUMNS = tuple(_SCHEMAS)
 
@@ -161,12 +181,12 @@ def audio(df: DataFrame, column: str, columns: tuple[str, ...] = COLUMNS) -> Dat
             out["feature"] = summary(mels, energy, spans)
             out["segments"] = [{"start_s": a * second, "end_s": ((b - 1) * HOP + FRAME) / TO_RATE} for a, b in spans.tolist()]
             if "tensors" in columns:
-                out["tensors"] = [{"start_s": k * CHUNK * second, "end_s": (min((k + 1) * CHUNK, len(mels)) - 1) * second + FRAME / TO_RATE, "shape": [CHUNK, MELS], "values": t.ravel()} for k, t in enumerate(tensors(mels))]
+                out["tensors"] = stored_tensors(mels)
         return {c: out[c] for c in columns}
 
     @common.trimmed
     def run(batches):
-        kinds = {"tensors": _TENSORS, "segments": _SEGMENTS, "media": pa.binary()}
+        kinds = {"tensors": pa.binary(), "segments": _SEGMENTS, "media": pa.binary()}
         for batch in batches:
             found = [one(x or b"") for x in batch.column(at).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in rest), *(pa.array([r[c] for r in found], kinds.get(c) or (pa.string() if _SCHEMAS[c] == "string" else pa.int64())) for c in columns)], [f"c{i}" for i in range(len(rest) + len(columns))])
@@ -174,11 +194,3 @@ def audio(df: DataFrame, column: str, columns: tuple[str, ...] = COLUMNS) -> Dat
     plain = df.toDF(*(f"c{i}" for i in range(len(names))))
     schema = ", ".join([*(f"c{k} {df.schema[i].dataType.simpleString()}" for k, i in enumerate(rest)), *(f"c{len(rest) + k} {_SCHEMAS[c]}" for k, c in enumerate(columns))])
     return common.batched(plain).mapInArrow(run, schema).toDF(*(names[i] for i in rest), *columns)
-
-
-def arrow_tensors(table: pa.Table) -> pa.ExtensionArray:
-    """The tensors column of a collected piece as Arrow's fixed-shape tensor type."""
-    flat = table.column("tensors").combine_chunks().flatten()
-    kind = pa.fixed_shape_tensor(pa.float32(), [CHUNK, MELS])
-    values = flat.field("values").flatten()
-    return pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(values, CHUNK * MELS))
