@@ -4,11 +4,12 @@ Rows lie in old shards; each shard is to hold as many rows as any other, give or
 class form a block; how many rows of which block go to which shard is a flow from blocks to shards whose cost is the bytes
 that change shard. The network has two arcs a block - stay, at no cost, or go through a hub, at the block's mean bytes a row - so
 the driver solves it by successive shortest paths over a few thousand nodes, however many rows there are. Executors then
-turn each row's exact rank in its block into a shard and a slot. Ranks run by a hash of the text within a block, so copies of a
-text, which start in one shard, part only where a cut falls.
+turn each row's exact rank in its block into a shard and a slot. Within a block rows of groups come first, group by group, and rows that
+are alone last; a block gives away its last rows, so groups stay whole as long as a block gives away no more than its single
+rows, and of the rest only a group at a cut is parted.
 
-Null size: counts as 0. Null text: its hash is 0. Empty table: no rows. Repeated rows: each has its own slot. Other columns:
-kept as they are, whatever their names.
+Null size: counts as 0. Null group: a group of its own, hash 0. Very long texts: not read, but by the caller. Empty table: no rows.
+Repeated rows: each has its own slot. Other columns: kept as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,14 +19,14 @@ import heapq
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from . import common
 
-#: Size classes to a doubling, and hash ranges that order a block.
-CLASSES, RANGES = 4, 64
+#: Size classes to a doubling, and bytes of group hashes that are broadcast at most.
+CLASSES, BROADCAST_BYTES = 4, 1 << 24
 
 
 class Network:
@@ -127,17 +128,22 @@ def reshard(df: DataFrame, shards: int, old: Column, size: Column, group: Column
     level = F.when(size > 0, F.floor(F.log2(size.cast("double")) * CLASSES) + 1).otherwise(0)
     block = (F.coalesce(old, F.lit(-1)).cast("long") + 1) * 1024 + F.least(level, F.lit(1023))
     names = df.columns
-    wide = df.select(*(F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(names)), block.alias("b"), size.alias("s"), F.pmod(F.coalesce(group, F.lit(0)), F.lit(RANGES)).cast("int").alias("r"))
+    wide = df.select(*(F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(names)), block.alias("b"), size.alias("s"), F.coalesce(group, F.lit(0)).cast("long").alias("h"))
+    several = common.stored(wide.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select(F.col("h").alias("g")))
+    several = F.broadcast(several) if several.count() * 16 <= BROADCAST_BYTES else several
+    wide = wide.join(several, F.col("h") == F.col("g"), "left").withColumn("alone", F.col("g").isNull()).drop("g")
+    order = ["b", "alone", "h", "tie"]  # tie: rows of one large group go to many tasks
+    many = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wide = wide.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(many, *order).sortWithinPartitions(*order).drop("alone", "h", "tie")
 
     @common.trimmed
     def ranked(batches):
         local, pid = common.LocalRanks(), TaskContext.get().partitionId()
         for batch in batches:
-            key = batch.column("b").to_numpy() * RANGES + batch.column("r").to_numpy()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, pid, np.int32)), pa.array(local.of(key))], [*batch.schema.names, "pid", "local"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, pid, np.int32)), pa.array(local.of(batch.column("b").to_numpy()))], [*batch.schema.names, "pid", "local"])
 
     rows = common.stored(common.batched(wide).mapInArrow(ranked, StructType([*wide.schema.fields, StructField("pid", IntegerType()), StructField("local", LongType())])))
-    counts = rows.groupBy("b", "r", "pid").agg(F.count("*").alias("n"), F.sum("s").alias("bytes"))
+    counts = rows.groupBy("b", "pid").agg(F.count("*").alias("n"), F.sum("s").alias("bytes"))
     found = sorted(counts.groupBy("b").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).collect())  # old shards x classes
     plan = transfers([(b // 1024 - 1, n, size / n) for b, n, size in found], shards)
     runs, slot = [], [0] * shards
@@ -158,9 +164,8 @@ def reshard(df: DataFrame, shards: int, old: Column, size: Column, group: Column
             cols = [c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n not in ("b", "rank")]
             yield pa.RecordBatch.from_arrays([*cols, old, pa.array(p["shard"][at].astype(np.int32)), pa.array(p["slot"][at] + rank - p["rank"][at])], out.fieldNames())
 
-    w = Window.partitionBy("b").orderBy("r", "pid").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select("b", "r", "pid", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"))
-    ready = rows.join(before, ["b", "r", "pid"]).select(*(f"c{i}" for i in range(len(names))), "b", (F.col("local") + F.col("before")).alias("rank"))
+    before = common.starts(counts, "b").select("b", "pid", "before")  # tasks are ranges, in order
+    ready = rows.join(before, ["b", "pid"]).select(*(f"c{i}" for i in range(len(names))), "b", (F.col("local") + F.col("before")).alias("rank"))
     out = StructType([*(StructField(f"c{i}", f.dataType) for i, f in enumerate(df.schema.fields)), StructField("old_shard", IntegerType()), StructField("shard", IntegerType()), StructField("slot", LongType())])
     return ready.mapInArrow(placed, out).toDF(*names, "old_shard", "shard", "slot")
 
