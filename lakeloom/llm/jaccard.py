@@ -1,21 +1,23 @@
 """N-gram Jaccard join by chosen paths.
 
 A text is the set of its runs of WIDTH words (words are runs of bytes that are not white space; a shorter text is one run). Texts with
-equal sets form a class and one of them, its representative, goes on. In each of RUNS runs a set takes each of its tokens
+equal sets form a class and one of them, its representative, goes on. In each run a set takes each of its tokens
 with probability 1 / (similarity x size) by a hash that all sets share, and goes to the bucket of each token it took. Buckets of
 more than SMALL sets are split the same way again, by the path so far, up to DEPTH times, unless most of what is in them is alike. Two sets of similarity 0.8 meet in a
-bucket at depth d with a chance of at least 0.63, 0.46, 0.37, 0.31, so after 20 runs all but 1 in 1700 of the pairs that lie
-just at the threshold, in a bucket that had to be split to the end, have met, and far fewer are missed above it or in smaller ones. Buckets are
+bucket at depth d with a chance of at least MEET[d - 1], so runs are repeated until, of the pairs that lie just at the threshold in a
+bucket that had to be split to the end, a share of RECALL has met; of pairs above it or in smaller buckets far more have. Buckets are
 brute-forced by sketches (one-permutation minima), in blocks if large, into candidate components; within these all pairs are
 compared exactly on the whole sets. Large components are cut in blocks whose pairs are separate tasks, and only sums and spanning
 links leave a task, never all pairs.
 
-Null text: empty. Texts without words: one class of their own. Null ids: allowed; a class whose ids are all null has a null
+Null text: empty. Texts without words: one class of their own. Ids: of any type that orders. Null ids: allowed; a class whose ids are all null has a null
 class_id. Repeated rows: copies, each counted. Empty table: no rows. Other columns: kept by deduplicate(), else not read.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -28,13 +30,19 @@ from .components import components
 WIDTH = 5
 #: Similarity as a fraction.
 OVER, UNDER = 4, 5
-RUNS, DEPTH, SMALL = 20, 4, 128
+DEPTH, SMALL = 4, 128
+#: The target recall at the threshold, and the chance that two sets of that similarity meet in one run after 1, 2, ... splits: with q =
+#: 1 - exp(-m) for the m = 1 tokens that a path shares on average per split, the survival of a branching process, 1 - exp(-q).
+RECALL, MEET = 0.9994, (0.63, 0.46, 0.37, 0.31)
+RUNS = math.ceil(math.log(1 - RECALL) / math.log(1 - MEET[DEPTH - 1]))
+#: Sketch places, and the share of equal ones from which a pair is compared exactly; a pair at the threshold has less than this with a
+#: chance of some 1 in 50000 (over four deviations).
 SKETCH, LIKELY = 128, 0.65
 #: Members of a large bucket that are compared, and the mean similarity from which on it is not split: most of its pairs would meet again.
 PROBES, DENSE = 8, 0.4
 BLOCK = 256
-#: Rows (of some 30 bytes) that are broadcast at most; beyond that they are joined by a shuffle.
-BROADCAST_ROWS = 2_000_000
+#: Bytes that are broadcast at most; beyond that they are joined by a shuffle.
+BROADCAST_BYTES = 1 << 26
 
 _SEEDS = common.mix(np.arange(1, RUNS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -52,7 +60,7 @@ def shingles(raw: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
     out = []
     for a, b in zip(bounds[:-1], bounds[1:], strict=True):
         if b - a >= WIDTH:
-            out.append(np.unique(h[a : b - WIDTH + 1]))
+            out.append(common.distinct(h[a : b - WIDTH + 1]))
         elif b > a:
             x = hashed[a : a + 1]
             for w in hashed[a + 1 : b]:
@@ -137,13 +145,15 @@ def _in_blocks(rows: DataFrame, key: str, block: int) -> DataFrame:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tk"))
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("tk"))
 
 
 def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """The texts of wanted (rid, doc_id, tk, ...), read from the documents again. Rows that agree in id and text come once or more."""
     wanted = common.stored(wanted.withColumnsRenamed({"doc_id": "w_id", "tk": "w_tk"}))
-    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    lists = [F.size(f.name) for f in wanted.schema if f.dataType.typeName() == "array"]
+    n_bytes = wanted.agg(F.sum(F.lit(64) + 8 * sum(lists, F.lit(0)) + F.octet_length(F.coalesce(F.col("w_id").cast("string"), F.lit(""))))).first()[0] or 0
+    side = F.broadcast(wanted) if n_bytes <= BROADCAST_BYTES else wanted
     texts = _texts(docs)
     return texts.join(side, (F.col("tk") == F.col("w_tk")) & F.col("doc_id").eqNullSafe(F.col("w_id"))).drop("doc_id", "tk", "w_tk", "w_id")
 
@@ -163,13 +173,13 @@ def sets(docs: DataFrame) -> DataFrame:
                     s1.append(a - (1 << 63))
                     s2.append(b - (1 << 63))
                     size.append(len(tokens))
-                    paths.append(np.unique(taken(tokens, _SEEDS)[1]).view(np.int64) if len(tokens) else [])
+                    paths.append(common.distinct(taken(tokens, _SEEDS)[1]).view(np.int64) if len(tokens) else [])
                     marks.append(sketch(tokens).tobytes())
             rid = (np.int64(pid) << 40) + seen + np.arange(batch.num_rows)
             seen += batch.num_rows
             yield pa.RecordBatch.from_arrays([pa.array(rid), batch.column(0), batch.column(2), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(size, pa.int32()), pa.array(paths, pa.list_(pa.int64())), pa.array(marks, pa.binary())], ["rid", "doc_id", "tk", "s1", "s2", "n", "paths", "sketch"])
 
-    return common.stored(common.batched(_texts(docs)).mapInArrow(run, "rid long, doc_id long, tk long, s1 long, s2 long, n int, paths array<long>, sketch binary"))
+    return common.stored(common.batched(_texts(docs)).mapInArrow(run, f"rid long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, tk long, s1 long, s2 long, n int, paths array<long>, sketch binary"))
 
 
 def buckets(docs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -182,7 +192,7 @@ def buckets(docs: DataFrame, reps: DataFrame) -> DataFrame:
             for i, raw, off in common.slices(batch.column(0)):
                 for k, tokens in enumerate(shingles(raw, off), i):
                     nodes = np.array(batch.column(2)[k].as_py(), np.int64).view(np.uint64)
-                    found = np.unique(taken(tokens, nodes)[1]).view(np.int64)
+                    found = common.distinct(taken(tokens, nodes)[1]).view(np.int64)
                     keys.append(found)
                     rid.append(np.full(len(found), batch.column(1)[k].as_py()))
             if keys:
@@ -336,7 +346,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     found = common.stored(classes(docs))
     same = found.groupBy("doc_id", "tk").agg(F.max("first").alias("keep"), F.count("*").alias("n"))
     kept = same.where("keep").select(F.col("doc_id").alias("_ll_id"), F.col("tk").alias("_ll_tk"), (F.col("n") > 1).alias("_ll_twice"))
-    left = docs.join(kept, (F.xxhash64(docs["text"]) == F.col("_ll_tk")) & docs["doc_id"].cast("long").eqNullSafe(F.col("_ll_id")))
+    left = docs.join(kept, (F.xxhash64(docs["text"]) == F.col("_ll_tk")) & docs["doc_id"].eqNullSafe(F.col("_ll_id")))
     once = left.where(~F.col("_ll_twice")).drop("_ll_id", "_ll_tk", "_ll_twice")
     # rows that agree in id and text are copies of each other: one of them stays
     again = left.where("_ll_twice").dropDuplicates(["_ll_id", "_ll_tk"]).drop("_ll_id", "_ll_tk", "_ll_twice")
