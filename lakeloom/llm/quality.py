@@ -6,7 +6,8 @@ output weights are learned together by stochastic gradient descent in numpy, on
 document vector is a mean, a trained model scores a document by the mean of one number per bucket; only these go to the workers.
 
 Null and empty texts have no features and get the score of the bias alone. Without labelled rows of both classes the score is
-the share of label 1 (0.5 without any). Null doc_id: in no training fold. Empty table: no rows. Repeated rows: scored each.
+the share of label 1 (0.5 without any). Null doc_id: in no training fold. Several labels of one id: the least counts; several texts:
+the one with the least hash. Very long texts: read whole. Empty table: no rows. Repeated rows: scored each.
 Other columns, lang and source among them, are never read.
 """
 
@@ -107,10 +108,13 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", most: int =
         labels.select(F.col("doc_id"), F.col(target).cast("int").alias("label"))
         .where("doc_id is not null and label in (0, 1)")
         .where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "label")
+        .groupBy("doc_id")
+        .agg(F.min("label").alias("label"))
+        .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(most)
-        .dropDuplicates(["doc_id"])
     )
+    # of several rows with one id the text with the least hash is read, so that no more rows come than labels
+    once = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     @common.trimmed
     def bags(batches):
@@ -118,7 +122,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", most: int =
             found = [bag((t or "").encode()) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([f.astype("<i4").tobytes() for f, _ in found], pa.binary()), pa.array([n.astype("<u4").tobytes() for _, n in found], pa.binary()), batch.column("label")], ["found", "times", "label"])
 
-    rows = common.batched(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "label")).mapInArrow(bags, "found binary, times binary, label int").collect()
+    rows = common.batched(once.select("doc_id", "text", "label")).mapInArrow(bags, "found binary, times binary, label int").collect()
     rows.sort(key=lambda r: zlib.crc32(r.found))
     return train([(np.frombuffer(r.found, "<i4"), np.frombuffer(r.times, "<u4"), r.label) for r in rows])
 
