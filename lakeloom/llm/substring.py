@@ -7,10 +7,11 @@ GRAM-byte hash in it, the first of ties, and a run of windows with one anchor is
 anchors, so only segments that share an anchor can repeat each other.
 
 1. Executors cut documents into segments and drop, within their task, those that equal an earlier one; the rest meet by
-   anchor, as packed arrays, and equal ones are again reduced to the first. All windows of a later equal segment are repeated.
-2. Different segments with one anchor may still share windows. If one of two contexts of the anchor is shared, too, their bytes are
-   fetched, the Burrows-Wheeler transform and common prefixes of all segments of a batch are built column by column, and rows
-   whose common prefix reaches WINDOW are equal windows; all but the first occurrence are repeated.
+   anchor, as packed arrays, and equal ones (by 128 bits of hash and 64 of the anchor's) are again reduced to the first. All
+   windows of a later equal segment are repeated.
+2. Different segments with one anchor may still share windows. Their bytes are fetched; of those that share a context of the anchor that
+   two equal windows must share the Burrows-Wheeler transform and common prefixes are built column by column, BATCH_BYTES at a
+   time, and rows whose common prefix reaches WINDOW are equal windows; all but the first occurrence are repeated.
 3. An anchor with more than HOT different segments (a passage that very many documents quote) would make one large task: its windows
    are compared by 128-bit hashes in a distributed aggregation instead.
 4. Repeated windows of a document are merged to spans and cut out.
@@ -38,18 +39,18 @@ WINDOW, GRAM = 100, 32
 HOT, LOCAL_HOT = 2048, 256
 #: Segments that a map task holds before it reduces and sends them.
 HELD = 1 << 19
-#: Segments that one batch sorts, about.
-BATCH = 4096
+#: Bytes of segments that one batch sorts, about, and the steps of contexts by which segments are picked for it.
+BATCH_BYTES, STEP = 1 << 20, 4
 #: Bytes of documents' spans that are broadcast at most; beyond that they are joined by a shuffle.
 BROADCAST_BYTES = 1 << 26
 _POSITION = np.uint64(30)
 _SECOND = np.random.default_rng(77).integers(0, 2**64, 256, dtype=np.uint64)
-#: Column types of packed segments: anchor, hash, document, start, windows, the anchor's place.
-_KINDS = ("<u8", "<u8", "<i8", "<i4", "u1", "u1")
+#: Column types of packed segments: anchor, hash, document, start, windows, the anchor's place, a second hash.
+_KINDS = ("<u8", "<u8", "<i8", "<i4", "u1", "u1", "<u8")
 
 
 def segments(raw: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
-    """Anchor, hash, row, start in the row, number of windows and the anchor's place in it, of each segment of each row."""
+    """Anchor, hash, row, start in the row, number of windows, the anchor's place in it and a second hash, of each segment of each row."""
     n = len(raw)
     if n < WINDOW:
         return [np.zeros(0, k) for k in _KINDS]
@@ -73,8 +74,11 @@ def segments(raw: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
     s = np.flatnonzero(ok & (changed | ~np.r_[False, ok[:-1]]))
     e = np.flatnonzero(ok & (np.r_[changed[1:], True] | ~np.r_[ok[1:], False])) + 1
     row = np.searchsorted(off, s, "right") - 1
-    whole = common.mix((total[e + WINDOW - 1] - total[s]) * q[s] + (e - s).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
-    return [h[at[s]], whole, row, s - off[row], e - s, at[s] - s]
+    size = (e - s).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)
+    whole = common.mix((total[e + WINDOW - 1] - total[s]) * q[s] + size)
+    np.cumsum(_SECOND[raw] * p, out=total[1:])
+    second = common.mix((total[e + WINDOW - 1] - total[s]) * q[s] + size)
+    return [h[at[s]], whole, row, s - off[row], e - s, at[s] - s, second]
 
 
 def _pack(cols: list[np.ndarray]) -> bytes:
@@ -94,11 +98,11 @@ def _unpack(blobs: list[bytes]) -> list[np.ndarray]:
 
 
 def _firsts(cols: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-    """cols by anchor, hash and place; and which of them are the first of their anchor and hash."""
-    order = np.lexsort((cols[3], cols[2], cols[1], cols[0]))
+    """cols by anchor, hashes and place; and which of them are the first of their anchor and hashes."""
+    order = np.lexsort((cols[3], cols[2], cols[6], cols[1], cols[0]))
     cols = [c[order] for c in cols]
     first = np.ones(len(order), bool)
-    first[1:] = (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])
+    first[1:] = (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]) | (cols[6][1:] != cols[6][:-1])
     return cols, first
 
 
@@ -255,43 +259,40 @@ def _fetched(docs: DataFrame, found: DataFrame) -> DataFrame:
     return common.stored(common.batched(rows).mapInArrow(cut, "kind int, x long, ord long, a long, y long, data binary"), release=True)
 
 
-def _alike(group: np.ndarray, place: np.ndarray, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Which segments share, with another of their anchor, the bytes of the anchor and as many before or after it as two equal windows
-    must have in common on one side."""
-    side = (WINDOW - GRAM) // 2
+def alike(anchor: np.ndarray, place: np.ndarray, data: list[bytes]) -> np.ndarray:
+    """Which segments share, with another of their anchor, one of the contexts of the anchor of which two equal windows share at least one:
+    b bytes before it and WINDOW - GRAM - STEP - b or more after it, for b in steps."""
+    raw = np.frombuffer(b"".join(data), np.uint8)
+    off = np.r_[0, np.cumsum([len(d) for d in data])].astype(np.int64)
     at = off[:-1] + place
     p, q = common.powers(len(raw))
     total = np.empty(len(raw) + 1, np.uint64)
     total[0] = 0
     np.cumsum(common._TABLE[raw] * p, out=total[1:])
-    out = np.zeros(len(group), bool)
-    for lo, hi in ((at - side, at + GRAM), (at, at + GRAM + side)):
+    group = common.mix(anchor.view(np.uint64))
+    out = np.zeros(len(data), bool)
+    for before in range(0, WINDOW - GRAM, STEP):
+        lo, hi = at - before, at + GRAM + max(0, WINDOW - GRAM - STEP - before)
         rows = np.flatnonzero((lo >= off[:-1]) & (hi <= off[1:]))
-        h = (total[hi[rows]] - total[lo[rows]]) * q[lo[rows]]
-        _, back, n = np.unique(np.stack([group[rows].view(np.uint64), h], 1), axis=0, return_inverse=True, return_counts=True) if len(rows) else (0, np.zeros(0, int), np.zeros(0, int))
-        out[rows] |= n[back.ravel()] > 1
+        h = common.mix((total[hi[rows]] - total[lo[rows]]) * q[lo[rows]] ^ group[rows])
+        _, back, n = np.unique(h, return_inverse=True, return_counts=True)
+        out[rows] |= n[back] > 1
     return out
 
 
-def repeated_windows(anchor: np.ndarray, place: np.ndarray, doc: np.ndarray, start: np.ndarray, data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repeated_windows(doc: np.ndarray, start: np.ndarray, data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Spans (document, from, to) of windows of these segments that occur earlier in them, by sorted suffixes."""
-    raw = np.frombuffer(b"".join(data), np.uint8)
-    off = np.r_[0, np.cumsum([len(d) for d in data])].astype(np.int64)
-    pick = np.flatnonzero(_alike(anchor, place, raw, off))
-    if not len(pick):
-        return doc[:0], start[:0], start[:0]
-    part = [data[i] for i in pick]
     # byte 0 ends strings in the transform; other bytes of UTF-8 lie below 245
-    raw = np.frombuffer(b"".join(part), np.uint8) + np.uint8(1)
-    off = np.r_[0, np.cumsum([len(d) for d in part])].astype(np.int64)
+    raw = np.frombuffer(b"".join(data), np.uint8) + np.uint8(1)
+    off = np.r_[0, np.cumsum([len(d) for d in data])].astype(np.int64)
     _, lcp, string, length = bwt.build(raw, off)
     group = np.cumsum(lcp < WINDOW)
     has = length >= WINDOW
     group, string, length = group[has], string[has], length[has]
-    d = doc[pick[string]]
-    a = start[pick[string]] + np.diff(off)[string] - length
+    d = doc[string]
+    a = start[string] + np.diff(off)[string] - length
     order = np.lexsort((a, d, group))
-    later = np.r_[False, group[order][1:] == group[order][:-1]]
+    later = np.r_[False, group[order][1:] == group[order][:-1]] if len(order) else np.zeros(0, bool)
     rows = order[later]
     return _spans(d[rows], a[rows], a[rows] + WINDOW)
 
@@ -303,18 +304,22 @@ def spans(docs: DataFrame) -> DataFrame:
 
     @common.trimmed
     def sort(batches):
-        held = []
+        held, size = [], 0
 
         def flush():
-            t = pa.concat_tables(held)
-            d, a, b = repeated_windows(*(t.column(n).to_numpy() for n in ("x", "y", "ord", "a")), t.column("data").to_pylist())
+            doc, start = (np.concatenate(x) for x in zip(*(h[:2] for h in held), strict=True))
+            d, a, b = repeated_windows(doc, start, [x for h in held for x in h[2]])
             return pa.RecordBatch.from_arrays([pa.array(d), pa.array(a), pa.array(b)], ["ord", "a", "b"])
 
-        for table in _groups(batches, 1):
-            held.append(table)
-            if sum(t.num_rows for t in held) >= BATCH:
+        for table in _groups(batches, 1):  # whole anchors
+            data = table.column("data").to_pylist()
+            pick = np.flatnonzero(alike(table.column("x").to_numpy(), table.column("y").to_numpy(), data))
+            if len(pick):
+                held.append((table.column("ord").to_numpy()[pick], table.column("a").to_numpy()[pick], [data[i] for i in pick]))
+                size += sum(len(x) for x in held[-1][2])
+            if size >= BATCH_BYTES:
                 yield flush()
-                held = []
+                held, size = [], 0
         if held:
             yield flush()
 

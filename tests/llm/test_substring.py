@@ -53,7 +53,7 @@ def test_transform():
 def test_segments_tile_the_windows():
     raw = np.frombuffer("".join(corpus(3)[:20]).encode(), np.uint8)
     off = np.array([0, 50, 50, 1000, len(raw)])
-    _, _, row, start, n, place = substring.segments(raw, off)
+    _, _, row, start, n, place, _ = substring.segments(raw, off)
     windows = [(r, s + k) for r, s, m in zip(row, start, n, strict=True) for k in range(m)]
     assert windows == [(r, k) for r in range(4) for k in range(max(0, off[r + 1] - off[r] - 99))]
     assert (place + substring.GRAM <= 100).all() and (place - n + 1 >= 0).all()
