@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows that one Arrow batch may hold, so that a batch of very long texts stays small.
-BATCH_ROWS = 250
+#: Rows and bytes that one Arrow batch may hold, so that a batch of very long texts stays small.
+BATCH_ROWS, BATCH_BYTES = 250, 1 << 24
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -65,8 +65,9 @@ def stored(df: DataFrame, release: bool = False) -> DataFrame:
 def batched(df: DataFrame) -> DataFrame:
     """df, in a session whose Arrow batches are small enough for very long texts."""
     conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != BATCH_ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        if conf.get(key, None) != str(value):
+            conf.set(key, str(value))
     return df
 
 

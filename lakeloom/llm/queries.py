@@ -14,7 +14,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFra
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    special = packing.special_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(_table(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, special=special)
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,8 +34,10 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = mixing.mix(_table(spark, sf_dir), keep_undrawn=True)
-    by = blocks.groupBy("key", "place", "row", "size", "source_size", "target").agg(F.coalesce(F.sum("words"), F.lit(0)).alias("taken"))
-    return by.select("row.doc_id", "size", "source_size", "target", "taken")
+    place = F.when(F.col("shard").isNotNull(), F.struct("epoch", "shard", "slot", "words"))
+    by = blocks.groupBy("key", "place", "row", "size", "source_size", "target").agg(F.array_sort(F.collect_list(place)).alias("blocks"))
+    taken = F.aggregate("blocks", F.lit(0).cast("long"), lambda a, b: a + b["words"])
+    return by.select("row.doc_id", "size", "source_size", "target", taken.alias("taken"), "blocks")
 
 
 def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,15 +57,16 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    digest = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
-    return media.audio(_table(spark, sf_dir).select("doc_id", "text"), "text", digest)
+    digest = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tensors", "segments")
+    made = media.audio(_table(spark, sf_dir).select("doc_id", "text"), "text", digest)
+    return made.select("doc_id", *digest[:-2], F.sha2("tensors", 256).alias("tensors_sha256"), F.octet_length("tensors").alias("tensors_bytes"), F.size("segments").alias("n_segments"), F.xxhash64("segments").alias("segments_hash"))
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     docs = _table(spark, sf_dir).select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     shards = 40
-    out = sharding.reshard(docs, shards, F.pmod("text_crc32", F.lit(shards)).cast("int"), F.col("size"), F.shiftright("text_crc32", 8))
+    out = sharding.reshard(docs, shards, F.pmod("text_crc32", F.lit(shards)).cast("int"), F.col("size"), F.col("text_crc32"))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
