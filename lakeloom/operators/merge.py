@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from lakeloom.functions.keys import sort_columns
 
+#: Keys that are sampled for each range.
+SAMPLED = 50
+
 
 def merge_runs(*runs: DataFrame, key: str = "key") -> DataFrame:
     """Runs merged by key; of equal keys the row of the first run that has one stays. A hash aggregation, so each run is combined before
@@ -33,10 +36,40 @@ def in_order(entries: DataFrame, key: str = "key") -> DataFrame:
     return entries.orderBy(*sort_columns(F.col(key)))
 
 
+def _range(df: DataFrame, key: str = "key") -> Column:
+    """The number of a range of keys, in order: ranges hold about as many rows each, as a bounded sample of keys tells. Null: before all."""
+    many = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = df.count()
+    sample = df.select(key).where(F.col(key).isNotNull()).sample(min(1.0, SAMPLED * many / max(1, total)), seed=5)
+    found = sorted(r[0] for r in sample.collect())  # SAMPLED rows a range
+    bounds = sorted({found[len(found) * i // many] for i in range(1, many)}) if found else []
+    if not bounds:
+        return F.lit(0)
+    # how many bounds are not above the key, by bisection
+    walk = F.aggregate(F.sequence(F.lit(1), F.lit(len(bounds).bit_length() + 1)), F.struct(F.lit(0).alias("a"), F.lit(len(bounds)).alias("z")), lambda w, _: F.when(w["a"] >= w["z"], w).otherwise(_narrowed(w, bounds, F.col(key))), lambda w: w["a"])
+    return F.when(F.col(key).isNull(), 0).otherwise(walk)
+
+
+def _narrowed(w: Column, bounds: list, key: Column) -> Column:
+    mid = F.floor((w["a"] + w["z"]) / 2).cast("int")
+    below = F.get(F.lit(bounds), mid) <= key
+    return F.struct(F.when(below, mid + 1).otherwise(w["a"]).alias("a"), F.when(below, w["z"]).otherwise(mid).alias("z"))
+
+
 def ranked(entries: DataFrame, order: int, key: str = "key", within: list[str] | None = None) -> DataFrame:
-    """entries with their position in the node (from 1) and whether they are its pivot: key number order / 2."""
-    w = Window.partitionBy(*(within or [F.lit(0)])).orderBy(key)
-    return entries.withColumn("position", F.row_number().over(w)).withColumn("pivot", F.col("position") == order // 2)
+    """entries with their position in the node (from 1) and whether they are its pivot: key number order / 2. Without `within`, all
+    entries are one node: they are ranked in ranges of keys, and ranges are joined by their counts."""
+    if within:
+        w = Window.partitionBy(*within).orderBy(key)
+        return entries.withColumn("position", F.row_number().over(w)).withColumn("pivot", F.col("position") == order // 2)
+    dealt = entries.withColumn("_range", _range(entries, key))
+    counts = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
+    ahead = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    before = counts.select("_range", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_range").orderBy(key)
+    out = dealt.withColumn("_rank", F.row_number().over(inside)).join(F.broadcast(before), "_range")  # no more rows than ranges
+    out = out.withColumn("position", (F.col("_rank") + F.col("_before")).cast("int")).withColumn("pivot", F.col("position") == order // 2)
+    return out.select(*entries.columns, "position", "pivot")
 
 
 def split(entries: DataFrame, order: int, key: str = "key", within: list[str] | None = None) -> DataFrame:
@@ -45,20 +78,18 @@ def split(entries: DataFrame, order: int, key: str = "key", within: list[str] |
     return out.withColumn("side", F.when(F.col("pivot"), "pivot").when(F.col("position") < order // 2, "left").otherwise("right"))
 
 
-def floor_lookup(entries: DataFrame, targets: DataFrame, target: str, key: str = "key", value: str = "value", block: int = 1) -> DataFrame:
-    """For each target the greatest key that is not above it. One sorted pass over both sides, ranged by the first `block` characters of
-    the key; what a range lacks comes from the last key of the ranges before."""
-    part = F.substring(F.col("k"), 1, block)
+def floor_lookup(entries: DataFrame, targets: DataFrame, target: str, key: str = "key", value: str = "value") -> DataFrame:
+    """For each target the greatest key that is not above it. One sorted pass over both sides in ranges of keys; what a range lacks
+    comes from the last key of the ranges before, of which there is one row a range."""
     both = entries.select(F.col(key).alias("k"), F.col(value).alias("v"), F.lit(0).alias("asked")).unionByName(targets.select(F.col(target).alias("k"), F.lit(None).cast("string").alias("v"), F.lit(1).alias("asked")))
-    both = both.withColumn("range", part)
+    both = both.withColumn("range", _range(both, "k"))
     inside = Window.partitionBy("range").orderBy("k", "asked").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     held = F.when(F.col("asked") == 0, F.struct("k", "v"))
     found = both.withColumn("near", F.last(held, ignorenulls=True).over(inside)).where("asked = 1")
-    tops = both.where("asked = 0").groupBy("range").agg(F.max_by(F.struct("k", "v"), "k").alias("top"))
-    ranges = both.select("range").distinct().join(tops, "range", "left")
+    tops = both.groupBy("range").agg(F.max_by(held, F.when(F.col("asked") == 0, F.col("k"))).alias("top"))
     w = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
-    before = ranges.select("range", F.last("top", ignorenulls=True).over(w).alias("before"))
-    out = found.join(before, "range").withColumn("near", F.coalesce("near", "before"))
+    before = tops.select("range", F.last("top", ignorenulls=True).over(w).alias("before"))
+    out = found.join(F.broadcast(before), "range").withColumn("near", F.coalesce("near", "before"))  # no more rows than ranges
     return out.select(F.col("k").alias(target), F.col("near.k").alias(key), F.col("near.v").alias(value))
 
 
