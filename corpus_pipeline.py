@@ -12,8 +12,9 @@ def run(spark, sf_dir):
     from lakeloom.llm import common
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = common.stored(docs)
-    return docs
+    made = common.made()
+    for _, stage in STAGES[:-1]:
+        docs = common.stored(stage(spark, docs, sf_dir))
+        common.clear(made)  # what only led to this table, the one before it included
+        made = common.made() - 1
+    return STAGES[-1][1](spark, docs, sf_dir)
