@@ -32,10 +32,18 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
-def clear() -> None:
-    """Deletes all stored tables of this process. DataFrames that read them are void then; at exit it happens by itself."""
-    while _made:
-        spark, path = _made.pop()
+def made() -> int:
+    """How many tables of this process are stored."""
+    return len(_made)
+
+
+def clear(since: int | None = None) -> None:
+    """Deletes all stored tables of this process; DataFrames that read them are void then. At exit it happens by itself. With since, a
+    number from made(): all but the newest one that were stored since."""
+    gone = _made[since:-1] if since is not None else list(_made)
+    for entry in gone:
+        spark, path = entry
+        _made.remove(entry)
         try:
             jvm = spark.sparkContext._jvm
             at = jvm.org.apache.hadoop.fs.Path(path)

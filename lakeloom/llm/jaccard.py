@@ -4,7 +4,7 @@ A text is the set of its runs of WIDTH words (words are runs of bytes that are n
 equal sets form a class and one of them, its representative, goes on. In each run a set takes each of its tokens
 with probability 1 / (similarity x size) by a hash that all sets share, and goes to the bucket of each token it took. Buckets of
 more than SMALL sets are split the same way again, by the path so far, up to DEPTH times, unless most of what is in them is alike. Two sets of similarity 0.8 meet in a
-bucket at depth d with a chance of at least MEET[d - 1], so runs are repeated until, of the pairs that lie just at the threshold in a
+bucket at depth d with a chance of at least 0.63, 0.46, 0.37, 0.31 (_meet), so runs are repeated until, of the pairs that lie just at the threshold in a
 bucket that had to be split to the end, a share of RECALL has met; of pairs above it or in smaller buckets far more have. Buckets are
 brute-forced by sketches (one-permutation minima), in blocks if large, into candidate components; within these all pairs are
 compared exactly on the whole sets. Large components are cut in blocks whose pairs are separate tasks, and only sums and spanning
@@ -31,10 +31,20 @@ WIDTH = 5
 #: Similarity as a fraction.
 OVER, UNDER = 4, 5
 DEPTH, SMALL = 4, 128
-#: The target recall at the threshold, and the chance that two sets of that similarity meet in one run after 1, 2, ... splits: with q =
-#: 1 - exp(-m) for the m = 1 tokens that a path shares on average per split, the survival of a branching process, 1 - exp(-q).
-RECALL, MEET = 0.9994, (0.63, 0.46, 0.37, 0.31)
-RUNS = math.ceil(math.log(1 - RECALL) / math.log(1 - MEET[DEPTH - 1]))
+#: The target recall at the threshold.
+RECALL = 0.9994
+
+
+def _meet(depth: int) -> float:
+    """The chance, at least, that two sets at the threshold share a path of so many steps: the survival of a branching process in which a
+    step shares one token on average."""
+    q = 1.0
+    for _ in range(depth):
+        q = 1 - math.exp(-q)
+    return q
+
+
+RUNS = math.ceil(math.log(1 - RECALL) / math.log(1 - _meet(DEPTH)))
 #: Sketch places, and the share of equal ones from which a pair is compared exactly; a pair at the threshold has less than this with a
 #: chance of some 1 in 50000 (over four deviations).
 SKETCH, LIKELY = 128, 0.65

@@ -60,6 +60,8 @@ def test_mix(spark, monkeypatch):
     rows = [(i, " \n".join(["wörd"] * int(rng.integers(0, 30))), None if i % 10 == 3 else "hot" if i % 3 else f"s{i % 7}", "x") for i in range(600)]
     rows += [(None, None, "hot", "x"), (5, "long " * 9000, "s1", "x"), (7, "a a", "s2", "x"), (7, "a a", "s2", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size string").repartition(5)
+    leaves, plain = [], mixing.split_quotas
+    monkeypatch.setattr(mixing, "split_quotas", lambda *a: leaves.append(plain(*a)) or leaves[-1])
     out = mixing.mix(docs, carry=("doc_id", "size"), keep_undrawn=True)
     got = out.toPandas()
     size = {}
@@ -80,9 +82,23 @@ def test_mix(spark, monkeypatch):
     assert sizes.max() - sizes.min() <= 1 and len(sizes) > 3
     for _, g in drawn.groupby("shard"):
         assert sorted(g.slot) == list(range(len(g)))
+    # each shard holds of each source what the tree's leaf says
+    want_leaf = {(r.shard, r.key): r.blocks for r in leaves[0].collect() if r.blocks}
+    assert drawn.groupby(["shard", "key"]).size().to_dict() == want_leaf
     assert not drawn.duplicated(["key", "place", "epoch"]).any()
     again = mixing.mix(docs.repartition(2), carry=("doc_id", "size"), keep_undrawn=True).toPandas()
     cols = ["key", "place", "epoch", "words", "shard", "slot"]
     assert got[cols].fillna(-1).sort_values(cols).values.tolist() == again[cols].fillna(-1).sort_values(cols).values.tolist()
     assert mixing.mix(docs.limit(0)).count() == 0
     assert mixing.mix(docs.where("text is null")).count() == 0
+
+
+def test_query_returns_the_blocks_of_the_tree(spark):
+    from lakeloom.llm.queries import QUERIES
+
+    out = QUERIES["op2_mixing_sources"](spark, "/root/testdata/sf0.001")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "ends" in plan and "row_number" in plan  # the bisection of the leaves' ends, and the shuffle in a shard
+    rows = out.collect()
+    slots = [(b.shard, b.slot) for r in rows for b in r.blocks]
+    assert len(slots) == len(set(slots)) and all(r.taken == sum(b.words for b in r.blocks) for r in rows)

@@ -62,3 +62,23 @@ def test_rewrite_deletes_shards_left_empty(spark, tmp_path):
     out = sharding.reshard(df, 4, F.col("old"), F.lit(20), F.col("id")).drop("old")
     sharding.rewrite(out, at)
     assert sorted(r.id for r in spark.read.parquet(at).select("id").collect()) == list(range(200))
+
+
+def test_groups_stay_whole_where_single_rows_can_go(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, f"copy {i % 40}" if i < 160 else f"alone {i}") for i in range(1200)]
+    df = spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], "doc_id long, text string").repartition(6)
+    hashed = F.crc32(F.col("text").cast("binary"))
+    got = sharding.reshard(df, 10, F.pmod(hashed, F.lit(13)).cast("int"), F.octet_length("text"), hashed).toPandas()
+    counts = got.groupby("shard").size()
+    assert counts.max() - counts.min() <= 1 and got.groupby("shard").slot.apply(lambda s: sorted(s) == list(range(len(s)))).all()
+    parted = got[got.doc_id < 160].groupby("text").shard.nunique()
+    # blocks of the three shards that go away are cut where a new shard is full: at most one group at a cut
+    assert (parted > 1).sum() <= 6
+
+
+def test_one_group_of_half_the_rows_is_dealt_to_many_tasks(spark):
+    df = spark.createDataFrame([(i, "same" if i % 2 else f"x{i}") for i in range(2000)], "doc_id long, text string")
+    hashed = F.crc32(F.col("text").cast("binary"))
+    got = sharding.reshard(df, 8, F.lit(None).cast("int"), F.octet_length("text"), hashed).toPandas()
+    assert sorted(got.groupby("shard").size()) == [250] * 8 and len(got) == 2000
