@@ -138,9 +138,13 @@ class LocalStorage(Storage):
         return sorted(out)
 
 
+#: Fixed value: the name of Hadoop's option for conditional creation.
+CONDITIONAL = "fs.option.create.conditional.overwrite"
+
+
 class HadoopStorage(Storage):
     """Any file system that the session's Hadoop client knows, through the JVM. Creation without overwriting is as exclusive as that file
-    system's; object stores need a client with conditional writes."""
+    system's; of object stores conditional writes are asked for, which their client must know."""
 
     def __init__(self, root: str, **options: str) -> None:
         super().__init__(root, **options)
@@ -158,15 +162,16 @@ class HadoopStorage(Storage):
     def _write(self, path: str, data: bytes, overwrite: bool) -> None:
         p, fs = self._path(path)
         try:
-            out = fs.create(p, overwrite)
+            # stores that can write on condition that a name is free do so at close; others ignore the option
+            out = fs.create(p, True) if overwrite else fs.createFile(p).recursive().overwrite(False).opt(CONDITIONAL, True).build()
+            try:
+                out.write(bytearray(data))
+            finally:
+                out.close()
         except Exception as e:
-            if not overwrite and "AlreadyExists" in str(e):
+            if not overwrite and any(x in str(e) for x in ("AlreadyExists", "PreconditionFailed", "412")):
                 raise SealFailure(path) from e
             raise
-        try:
-            out.write(bytearray(data))
-        finally:
-            out.close()
 
     def read(self, path: str) -> bytes:
         p, fs = self._path(path)
