@@ -70,7 +70,8 @@ def _draw(total: str, good: str, n: str, u: str) -> str:
 
 
 def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
-    """quotas (key, blocks) split among shards: (key, shard, blocks), zeros included. Rows: sources times shards."""
+    """quotas (key, blocks) split among shards: (key, shard, blocks), without zeros, so no more rows than blocks. A node holds the sources
+    that still have blocks there."""
     node = quotas.agg(F.array_sort(F.collect_list(F.struct("key", F.col("blocks").cast("long").alias("q")))).alias("qs")).select(F.lit(0).alias("lo"), F.lit(shards).alias("hi"), "qs", F.expr("aggregate(qs, 0L, (a, x) -> a + x.q)").alias("all"))
     u = f"shiftrightunsigned(xxhash64({seed}L, lo, hi, x.key), 11) / 9007199254740992.0D"
     step = _draw("s.t", "x.q", "s.n", u)
@@ -80,7 +81,7 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
         node = node.withColumn("mid", F.expr("cast((lo + hi) div 2 as int)")).withColumn("half", F.expr(f"if(hi - lo > 1, (all * mid) div {shards} - (all * lo) div {shards}, 0L)"))
         node = node.withColumn("left", F.expr(f"if(hi - lo > 1, {left}, transform(qs, x -> 0L))"))
         halves = "if(hi - lo > 1, array(named_struct('lo', lo, 'hi', mid, 'qs', zip_with(qs, left, (x, g) -> named_struct('key', x.key, 'q', g))), named_struct('lo', mid, 'hi', hi, 'qs', zip_with(qs, left, (x, g) -> named_struct('key', x.key, 'q', x.q - g)))), array(named_struct('lo', lo, 'hi', hi, 'qs', transform(qs, x -> named_struct('key', x.key, 'q', x.q)))))"
-        node = node.select("all", F.explode(F.expr(halves)).alias("c")).select("c.lo", "c.hi", "c.qs", "all")
+        node = node.select("all", F.explode(F.expr(halves)).alias("c")).select("c.lo", "c.hi", F.filter("c.qs", lambda x: x["q"] > 0).alias("qs"), "all")
     return node.select(F.col("lo").alias("shard"), F.explode("qs").alias("x")).select(F.col("x.key").alias("key"), "shard", F.col("x.q").alias("blocks"))
 
 
@@ -119,12 +120,14 @@ def mix(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), text: str = "text
     shards = max(1, math.ceil(blocks / SHARD_BLOCKS))
     leaves = common.stored(split_quotas(quotas, shards, seed))
     upto = Window.partitionBy("key").orderBy("shard")
-    ends = leaves.withColumn("end", F.sum("blocks").over(upto)).groupBy("key").agg(F.array_sort(F.collect_list("end")).alias("ends"))
+    ends = leaves.withColumn("end", F.sum("blocks").over(upto)).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("end", "shard"))).alias("ends"))
     times = F.col("epochs") + (F.col("last") > 0).cast("int")
     drawn = ranked.where((F.col("size") > 0) & (times > 0)).withColumn("epoch", F.explode(F.sequence(F.lit(0), times - 1)))
     drawn = drawn.withColumn("words", F.when(F.col("epoch") < F.col("epochs"), F.col("size")).otherwise(F.col("last"))).withColumn("g", F.col("epoch") * F.col("all_blocks") + F.col("rank"))
     # the shard whose run of the source's blocks holds this one, by bisection
-    bisect = f"aggregate(sequence(0, {math.ceil(math.log2(shards)) + 1}), named_struct('a', 0, 'b', {shards}), (s, i) -> if(s.a >= s.b, s, if(get(ends, cast((s.a + s.b) div 2 as int)) <= g, named_struct('a', cast((s.a + s.b) div 2 as int) + 1, 'b', s.b), named_struct('a', s.a, 'b', cast((s.a + s.b) div 2 as int)))), s -> s.a)"
+    mid = "cast((s.a + s.b) div 2 as int)"
+    steps = math.ceil(math.log2(shards)) + 1
+    bisect = f"get(ends, aggregate(sequence(0, {steps}), named_struct('a', 0, 'b', size(ends)), (s, i) -> if(s.a >= s.b, s, if(get(ends, {mid}).end <= g, named_struct('a', {mid} + 1, 'b', s.b), named_struct('a', s.a, 'b', {mid}))), s -> s.a)).shard"
     drawn = drawn.join(ends, "key").withColumn("shard", F.expr(bisect))
     shuffle = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed + 1), "key", "g"), "key", "g")
     columns = ["row", "key", "place", "size", "source_size", "target", "epoch", "words", "shard"]

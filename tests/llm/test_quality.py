@@ -1,3 +1,4 @@
+import pytest
 import numpy as np
 
 from lakeloom.llm import quality
@@ -54,3 +55,39 @@ def test_counts_of_long_texts_are_whole(spark, monkeypatch):
     docs = spark.createDataFrame([(i, "word " * 70000) for i in range(1, 5)], "doc_id long, text string")
     quality.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(1, 5)], "doc_id long, quality int"))
     assert seen and all(times.max() >= 69999 for _, times, _ in seen)
+
+
+def test_score_is_the_mean_of_a_texts_features(spark):
+    """Against a loop over the features of each text alone."""
+    import numpy as np
+
+    from lakeloom.llm import quality
+
+    rng = np.random.default_rng(2)
+    weight, bias = rng.normal(0, 5, quality.BUCKETS).astype(np.float32), 0.3
+    texts = ["one two two three", "", None, "wörter mit Ümlaut " * 50, "x", "ab abc abcd abcde"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in quality.score(docs, (weight, bias)).collect()}
+    for i, t in enumerate(texts):
+        found, n = quality.bag((t or "").encode())
+        total = sum(float(weight[b]) * int(k) for b, k in zip(found, n, strict=True))
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-(total / max(1, n.sum()) + bias))), abs=1e-6)
+    words = ["one", "two", "two", "three"]
+    plain = len(words) + len(words) - 1 + sum(max(0, len(w) - k + 1) for w in words for k in (3, 4))
+    assert quality.bag(texts[0].encode())[1].sum() == plain
+
+
+def test_training_separates_what_differs_in_words_pairs_or_subwords():
+    import numpy as np
+
+    from lakeloom.llm import quality
+
+    rng = np.random.default_rng(3)
+    filler = [f"w{i}" for i in range(50)]
+    make = lambda own: " ".join([*rng.choice(filler, 20), own]).encode()
+    for good, bad in (("signal", "noise"), ("prefixed", "preferred"), ("a b", "b a")):
+        rows = [(*quality.bag(make(good if k % 2 else bad)), k % 2) for k in range(200)]
+        weight, bias = quality.train(rows)
+        new = [(*quality.bag(make(good if k % 2 else bad)), k % 2) for k in range(100)]
+        right = sum(((weight[f] * n).sum() / n.sum() + bias > 0) == bool(y) for f, n, y in new)
+        assert right >= 97, (good, bad, right)
