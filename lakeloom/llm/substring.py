@@ -37,8 +37,8 @@ from .jaccard import _groups
 WINDOW, GRAM = 100, 32
 #: Different segments of an anchor that one batch takes, and of which one map task sends to one place, at most.
 HOT, LOCAL_HOT = 2048, 256
-#: Segments that a map task holds before it reduces and sends them.
-HELD = 1 << 19
+#: Segments that a map task holds before it reduces and sends them, and bytes of text to a bucket of anchors; buckets at least.
+HELD, BUCKET_BYTES, BUCKETS = 1 << 19, 1 << 22, 96
 #: Bytes of segments that one batch sorts, about, and the steps of contexts by which segments are picked for it.
 BATCH_BYTES, STEP = 1 << 20, 4
 #: Bytes of documents' spans that are broadcast at most; beyond that they are joined by a shuffle.
@@ -141,7 +141,17 @@ def _ordered(docs: DataFrame) -> DataFrame:
 def shared_segments(docs: DataFrame) -> DataFrame:
     """docs (text, _ll_ord) to (kind, ord, a, b, anchor, place): kind 0, bytes a to b are repeated; kind 1, the segment at a with b windows
     shares its anchor with others and is the first of its like; kind 2, so do very many."""
-    many = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    many = max(BUCKETS, -(-n_bytes // BUCKET_BYTES))
+    parts = min(many, 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def runs(to, rows):
+        """(value, rows) of each value of `to` among these rows."""
+        if not len(rows):
+            return []
+        order = rows[np.argsort(to[rows], kind="stable")]
+        edge = np.flatnonzero(np.r_[True, to[order][1:] != to[order][:-1]])
+        return [(int(to[order[a]]), order[a:b]) for a, b in zip(edge, np.r_[edge[1:], len(order)], strict=True)]
 
     def sent(held):
         cols, first = _firsts([np.concatenate(x) for x in zip(*held, strict=True)])
@@ -155,24 +165,18 @@ def shared_segments(docs: DataFrame) -> DataFrame:
         mark = hot & np.r_[True, cols[0][1:] != cols[0][:-1]]
         spread = (common.mix(cols[1]) % np.uint64(many)).astype(np.int64)
         for kind, pick, to in ((0, ~hot, bucket), (1, hot, spread), (2, mark, bucket)):
-            rows = np.flatnonzero(pick)
-            order = rows[np.argsort(to[rows], kind="stable")]
-            ends = np.searchsorted(to[order], np.arange(many + 1))
-            has = np.flatnonzero(np.diff(ends))
-            if len(has):
-                yield [(int(t), kind, _pack([c[order[ends[t] : ends[t + 1]]] for c in cols])) for t in has]
+            if found := [(t, kind, _pack([c[rows] for c in cols])) for t, rows in runs(to, np.flatnonzero(pick))]:
+                yield found
         if len(dup[0]):
             to = (common.mix(dup[0].astype(np.uint64)) % np.uint64(many)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            ends = np.searchsorted(to[order], np.arange(many + 1))
-            yield [(int(t), 3, b"".join(c[order[ends[t] : ends[t + 1]]].astype("<i8").tobytes() for c in dup)) for t in np.flatnonzero(np.diff(ends))]
+            yield [(t, 3, b"".join(c[rows].astype("<i8").tobytes() for c in dup)) for t, rows in runs(to, np.arange(len(to)))]
 
     @common.trimmed
     def cut(batches):
         held, size = [], 0
 
         def batch_of(rows):
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "kind", "data"])
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "kind", "data"])
 
         for batch in batches:
             order = batch.column(1).to_numpy()
@@ -214,7 +218,7 @@ def shared_segments(docs: DataFrame) -> DataFrame:
         rows = np.concatenate(out)
         return pa.table({"kind": rows[:, 0].astype(np.int32), "ord": rows[:, 1], "a": rows[:, 2], "b": rows[:, 3], "anchor": rows[:, 4], "place": rows[:, 5].astype(np.int32)})
 
-    met = common.batched(docs.select("text", "_ll_ord")).mapInArrow(cut, "bucket int, kind int, data binary").repartition(many, "bucket")
+    met = common.batched(docs.select("text", "_ll_ord")).mapInArrow(cut, "bucket long, kind int, data binary").repartition(parts, "bucket")
     return common.stored(met.groupBy("bucket").applyInArrow(meet, "kind int, ord long, a long, b long, anchor long, place int"), release=True)
 
 
