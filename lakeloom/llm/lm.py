@@ -40,10 +40,10 @@ ORDER = 3
 PROBES, ENTRY_BITS, BASE = 5, 8, 1.5
 KEY_SPARE = 9
 #: Training bytes to a shard, shards at least, and bytes to a block of documents.
-SHARD, SHARDS, BLOCK = 1 << 24, 12, 1 << 23
+SHARD, SHARDS, BLOCK = 1 << 23, 12, 1 << 23
 END, START = np.uint64(0x27D4EB2F165667C5), np.uint64(0x5851F42D4C957F2D)
 #: Distinct keys that one task holds of each length before it merges or sends what it has.
-HELD = 1 << 21
+HELD = 1 << 20
 
 
 def stream(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
