@@ -25,6 +25,6 @@ def test_no_python(spark, name, monkeypatch):
 
 def test_queries_take_whole_tables(spark):
     n = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
-    for name, query in QUERIES.items():
-        got = query(spark, "/root/testdata/sf0.001")
+    for name in ("op3_document_fingerprints", "op4_license_scans", "op10_lm_scoring"):  # the others: test_contracts.py
+        got = QUERIES[name](spark, "/root/testdata/sf0.001")
         assert got.select("doc_id").distinct().count() == n, name
