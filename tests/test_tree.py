@@ -103,7 +103,10 @@ def test_merge_frames(spark):
     sides = {r.key: r.side for r in merge.split(seven, 8).collect()}
     assert sides == {**dict.fromkeys("abc", "left"), "d": "pivot", **dict.fromkeys("efg", "right")}
     targets = spark.createDataFrame([(t,) for t in ("0", "a", "bz", "zz")], "t string")
-    for block in (1, 2):
-        found = {r.t: r.key for r in merge.floor_lookup(seven, targets, "t", block=block).collect()}
+    for many in ("1", "3", "4"):  # ranges of keys
+        spark.conf.set("spark.sql.shuffle.partitions", many)
+        found = {r.t: r.key for r in merge.floor_lookup(seven, targets, "t").collect()}
         assert found == {"0": None, "a": "a", "bz": "b", "zz": "g"}
+    none = merge.floor_lookup(seven.limit(0), targets, "t").collect()
+    assert [r.key for r in none] == [None] * 4 and merge.floor_lookup(seven, targets.limit(0), "t").count() == 0
     assert merge.starting_with(seven, "c").select(F.col("key")).collect()[0].key == "c"
