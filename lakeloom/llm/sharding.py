@@ -128,13 +128,13 @@ def reshard(df: DataFrame, shards: int, old: Column, size: Column, group: Column
     level = F.when(size > 0, F.floor(F.log2(size.cast("double")) * CLASSES) + 1).otherwise(0)
     block = (F.coalesce(old, F.lit(-1)).cast("long") + 1) * 1024 + F.least(level, F.lit(1023))
     names = df.columns
-    wide = df.select(*(F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(names)), block.alias("b"), size.alias("s"), F.coalesce(group, F.lit(0)).cast("long").alias("h"))
+    wide = df.select(*(F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(names)), block.alias("b"), size.alias("s"), F.coalesce(group, F.lit(0)).cast("long").alias("h"), F.monotonically_increasing_id().alias("tie"))
     several = common.stored(wide.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select(F.col("h").alias("g")))
     several = F.broadcast(several) if several.count() * 16 <= BROADCAST_BYTES else several
     wide = wide.join(several, F.col("h") == F.col("g"), "left").withColumn("alone", F.col("g").isNull()).drop("g")
-    order = ["b", "alone", "h", "tie"]  # tie: rows of one large group go to many tasks
+    order = ["b", "alone", "h", "tie"]  # tie: the place in the input, so that rows of one large group go to many tasks
     many = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    wide = wide.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(many, *order).sortWithinPartitions(*order).drop("alone", "h", "tie")
+    wide = wide.repartitionByRange(many, *order).sortWithinPartitions(*order).drop("alone", "h", "tie")
 
     @common.trimmed
     def ranked(batches):
