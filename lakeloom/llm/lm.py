@@ -291,7 +291,8 @@ def _table(blob: bytes) -> pa.Table:
 
 
 def blocks(docs: DataFrame) -> DataFrame:
-    """docs (..., text last) as (block, blob): runs of rows of about BLOCK bytes of text, as compressed Arrow streams."""
+    """docs (..., text last) as (block, blob): runs of rows of about BLOCK bytes of text, as compressed Arrow streams. docs must come in the
+    same order whenever it is read, as files do, so that a lost task makes the same blocks again; if not, scoring fails."""
 
     @common.trimmed
     def cut(batches):
@@ -366,8 +367,11 @@ def answered(docs: DataFrame, shards: Shards, use, schema: str) -> DataFrame:
         got = {}
         for n, keys, ok in every:
             value = _joined(answers.column("_a").filter(pa.array(of == n)), "<i8" if n == 1 else "u1")
+            flat, back = np.unique(keys[ok], return_inverse=True)
+            if len(flat) != len(value):
+                raise RuntimeError("a block is not the one that asked: its rows come in another order when they are read again")
             got[n] = np.zeros(len(keys), value.dtype)
-            got[n][ok] = value[np.unique(keys[ok], return_inverse=True)[1]]
+            got[n][ok] = value[back]
         return use(rows, row, got.pop(1), got)
 
     asks = dealt.groupBy("_block").applyInArrow(ask, "_block long, _shard int, _n int, _width int, _keys binary")
