@@ -28,6 +28,8 @@ WIDTHS = (3, 4)
 #: Labelled rows that one training reads at most, picked by a hash of the id.
 TRAIN_ROWS = 3000
 DIMENSION, EPOCHS, RATE = 8, 6, 0.4
+#: Tasks that make the features of training rows.
+TASKS = 32
 #: Updates that one training makes at least; few rows are gone through more often.
 STEPS = 6000
 
@@ -115,6 +117,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", most: int =
     )
     # of several rows with one id the text with the least hash is read, so that no more rows come than labels
     once = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    once = once.repartition(TASKS)  # `most` rows; else one task would send all features to the driver in one piece
 
     @common.trimmed
     def bags(batches):
