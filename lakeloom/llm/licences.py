@@ -1,21 +1,24 @@
 """Licence scans by a trained paragraph classifier, in DataFrame and SQL functions (and Spark's own learner on the JVM) only.
 
-A paragraph is what stands between blank lines, or lines with neither letters nor digits; comment marks are no words. Of a paragraph only
-what may be a notice is looked at: its pieces (lines, cut after sentences and after PIECE words) with a marking word, and NEAR pieces to
-both sides, joined, so that wrapped notices are whole. Each such notice becomes the set of its hashed words and word pairs; a multinomial logistic regression tells licence families and
-`unknown` apart. It is trained on notices made from the templates below, with words dropped and other text around them, against
-lines of the corpus (a bounded sample, NEGATIVES) and sentences that only speak of licences, four folds of five. Probabilities are
-calibrated by the temperature that fits the fifth fold best; a notice whose best family stays below CERTAIN is unknown.
-
-Every family is confirmed of which a template has enough word pairs in the paragraph, whichever the classifier puts first, unless
+A paragraph is what stands between blank lines, or lines with neither letters nor digits; comment marks are no words. It is looked
+at in pieces (lines, cut after sentences and after PIECE words): those with a marking word and NEAR pieces to both sides are joined,
+so that wrapped notices are whole, and the rest in overlapping windows of as many pieces. All of these, that is all words of all
+texts, go to the classifier: each becomes the set of its hashed words and word pairs; a multinomial logistic regression tells licence
+families and `unknown` apart. It is trained on notices made from the templates below, with words dropped and other text around them,
+against such parts of the corpus as are far from every template (a bounded sample, NEGATIVES) and sentences that only speak of
+licences, four folds of five. Probabilities are calibrated by the temperature that fits the fifth fold best; a part whose best family
+stays below CERTAIN is unknown.
+
+A family that the classifier finds is `suspected` unless templates confirm it or explain it by another one. Every family is confirmed
+of which a template has enough word pairs in the paragraph, whichever the classifier puts first, unless
 another family's template explains all of these and more, as version 3 does for version 2; where two explain the same, the
 likelier is taken.
 
 To be confirmed, a notice must share OVERLAP of some template's word pairs. MARKS are words of the templates, so many that what
 is left of any template without them is too little for that; a text without any of them could not be confirmed (a test tries
-all), so only the others are scored. No document is left out, and texts are read whole.
+all), so only the others are held against templates, or what the classifier finds. No document is left out, and texts are read whole.
 
-Null or empty text: no notice, no licence. Very long texts: read whole, in pieces. Null ids: as any id. Repeated rows: each for itself.
+Null or empty text, or one without words: no notice, no licence. Very long texts: read whole, in pieces. Null ids: as any id. Repeated rows: each for itself.
 Empty table: no rows. Other columns: not read, whatever their names.
 """
 
@@ -30,9 +33,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UNKNOWN = "unknown"
-#: Paragraphs of the corpus that training takes as examples of no licence, at most.
+#: Texts of the corpus, and parts of them, that training takes as examples of no licence, at most.
 NEGATIVES = 2000
-FEATURES, CERTAIN, OVERLAP = 1 << 13, 0.5, 0.6
+FEATURES, CERTAIN, OVERLAP = 1 << 15, 0.5, 0.6
 #: What parts paragraphs, and pairs that a template which has them must find, as the rest of it stands in others' notices, too.
 BLANK = r"\n[^\p{L}\p{N}]*\n"
 #: Words in a piece of a line at most, and pieces beside a marked one that belong to its notice.
@@ -82,6 +85,8 @@ TEMPLATES = (
     ("Proprietary", "copyright all rights reserved no part of this publication may be reproduced"),
     ("Proprietary", "all rights reserved unauthorized copying of this file is strictly prohibited"),
 )
+#: Each template's word pairs.
+PAIRS = tuple((family, sorted({f"{a} {b}" for a, b in zip(t.split(" ")[:-1], t.split(" ")[1:], strict=True)})) for family, t in TEMPLATES)
 #: Words that are too usual to mark a paragraph while others do.
 USUAL = frozenset("the of to and is a this in or by for with it at not you under may be no from any person use file code work form that as an on version terms public source part free software into hereby fee copy general".split())
 
@@ -123,34 +128,54 @@ OTHERS = (
 def grams(text: Column) -> Column:
     """Lower-case words and pairs of neighbouring words, which have a blank in them."""
     words = F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9]+(?:[.-][a-z0-9]+)*"), F.lit(0))
-    n = F.greatest(F.size(words) - 1, F.lit(0))
-    pairs = F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b))
-    return F.concat(words, pairs)
+
+    def paired(w: Column) -> Column:
+        n = F.greatest(F.size(w) - 1, F.lit(0))
+        return F.concat(w, F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b)))
+
+    return _let(words, paired)
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, index, paragraph): what may be a notice in each document, or one row with nulls."""
-    text = F.regexp_replace(F.regexp_replace("text", r"(?<=[.!?;])[ \t]+", "\n"), rf"((?:\S+[ \t]+){{{PIECE}}})", "$1\n")
+    """(row, doc_id, index, paragraph, marked): all of each document that has words, in parts that may be a notice each, or one row
+    with nulls."""
+    text = F.regexp_replace(F.regexp_replace("text", r"(?<=[.!?;])[ \t]+", "\n"), rf"(?<!\S)((?:\S++[ \t]++){{{PIECE}}})", "$1\n")
+
+    def runs(pieces: Column, kept) -> Column:
+        """The kept pieces; the others become blank, and blank lines part notices."""
+        return F.split(F.array_join(F.transform(pieces, lambda x, i: F.when(kept(i), x).otherwise("")), "\n"), BLANK)
+
+    def windows(run: Column) -> Column:
+        """2 * NEAR + 1 pieces each, of which NEAR are in the next one, too: NEAR + 1 neighbours always stand in one of them."""
+        starts = lambda p: F.sequence(F.lit(1), F.greatest(F.size(p) - NEAR, F.lit(1)), F.lit(NEAR + 1))
+        return _let(F.split(run, "\n"), lambda p: F.transform(starts(p), lambda i: F.array_join(F.slice(p, i, 2 * NEAR + 1), "\n")))
+
+    def unmarked(parts: Column) -> Column:
+        return F.transform(F.flatten(F.transform(parts, windows)), lambda x: F.struct(x.alias("paragraph"), F.lit(False).alias("marked")))
 
-    def blanked(pieces: Column, flags: Column) -> Column:
-        """The pieces near a mark; the others become blank, and blank lines part notices."""
+    def parted(pieces: Column, flags: Column) -> Column:
         near = lambda i: F.array_contains(F.slice(flags, F.greatest(i + 1 - NEAR, F.lit(1)), F.least(i, F.lit(NEAR)) + NEAR + 1), True)
-        return F.array_join(F.transform(pieces, lambda x, i: F.when(near(i), x).otherwise("")), "\n")
+        beside = F.transform(runs(pieces, near), lambda x: F.struct(x.alias("paragraph"), F.lower(x).rlike(MARKS).alias("marked")))
+        return F.concat(beside, unmarked(runs(pieces, lambda i: ~near(i))))
 
-    left = _let(F.split(text, "\n"), lambda p: _let(F.transform(p, lambda x: F.lower(x).rlike(MARKS)), lambda f: blanked(p, f)))
-    left = F.when(F.lower("text").rlike(MARKS), left)
-    notices = F.transform(F.split(left, BLANK), lambda p, i: F.struct(i.alias("index"), p.alias("paragraph")))
+    parts = _let(F.split(text, "\n"), lambda p: _let(F.transform(p, lambda x: F.lower(x).rlike(MARKS)), lambda f: parted(p, f)))
+    parts = F.when(F.lower("text").rlike(MARKS), parts).otherwise(unmarked(F.split(text, BLANK)))
+    worded = F.filter(parts, lambda x: F.lower(x["paragraph"]).rlike("[a-z0-9]"))
     # numbered first: in one select the number would be taken after the explode
-    numbered = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.filter(notices, lambda x: F.lower(x["paragraph"]).rlike(MARKS)).alias("marked"))
-    return numbered.select("row", "doc_id", F.explode_outer("marked").alias("x")).select("row", "doc_id", "x.index", "x.paragraph")
+    numbered = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), worded.alias("parts"))
+    return numbered.select("row", "doc_id", F.posexplode_outer("parts").alias("index", "x")).select("row", "doc_id", "index", "x.paragraph", "x.marked")
 
 
 def examples(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(text, family): templates with other text around them and with words dropped, and what is no licence."""
     templates = spark.createDataFrame(TEMPLATES, "family string, text string")
-    plain = docs.select(F.explode(F.split("text", "\n")).alias("p")).where(~F.lower("p").rlike(MARKS) & (F.length("p") > 10))
-    noise = plain.orderBy(F.xxhash64("p"), "p").limit(NEGATIVES).select("p")
-    other = noise.select(F.col("p").alias("text"), F.lit(UNKNOWN).alias("family"))
+    # of different texts with the lowest hashes, copies once, what the classifier will be asked about
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).where("text is not null")
+    last = texts.select("h").distinct().orderBy("h").limit(NEGATIVES).agg(F.max("h")).first()[0]
+    plain = paragraphs(texts.where(F.col("h") <= F.lit(last)).dropDuplicates(["h"])).select(F.col("paragraph").alias("p")).where(F.length("p") > 10).distinct()
+    noise = plain.orderBy(F.xxhash64("p"), "p").limit(NEGATIVES).select("p", grams(F.col("p")).alias("grams"))
+    shares = [F.size(F.array_intersect("grams", F.lit(ps))) / len(ps) for _, ps in PAIRS]
+    other = noise.where(F.greatest(*shares) < OVERLAP / 2).select(F.col("p").alias("text"), F.lit(UNKNOWN).alias("family"))
     talk = spark.createDataFrame([(t,) for t in OTHERS], "text string")
     words = F.split("text", " ")
     around = [
@@ -217,18 +242,17 @@ def train(docs: DataFrame) -> Classifier:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, index, paragraph, family, probability, overlap, confirmed): for each marked paragraph of docs (doc_id, text) its
+    """(row, doc_id, index, paragraph, marked, family, probability, overlap, confirmed): for each paragraph of docs (doc_id, text) its
     confirmed families and the classifier's if its templates don't suffice, or else unknown; and one row with nulls for a document
     without any."""
     found = paragraphs(docs.select("doc_id", "text"))
     model = train(docs)
     scored = model.score(found.withColumnRenamed("paragraph", "text").withColumn("text", F.coalesce("text", F.lit("")))).withColumnRenamed("text", "paragraph")
-    own = [(family, sorted({f"{a} {b}" for a, b in zip(t.split(" ")[:-1], t.split(" ")[1:], strict=True)})) for family, t in TEMPLATES]
-    every = F.lit(sorted({p for _, ps in own for p in ps}))
-    # words and pairs in one array; only pairs stand in `every`
-    scored = scored.withColumn("held", F.array_intersect("grams", every)).drop("grams")
+    every = F.lit(sorted({p for _, ps in PAIRS for p in ps}))
+    # words and pairs in one array; only pairs stand in `every`; templates can't confirm what has no mark
+    scored = scored.withColumn("held", F.when(F.col("marked") | (F.col("family") != UNKNOWN), F.array_intersect("grams", every)).otherwise(F.array().cast("array<string>"))).drop("grams")
     cases = []
-    for family, ps in own:
+    for family, ps in PAIRS:
         held = F.array_intersect(F.col("held"), F.lit(ps))
         p = F.element_at("probabilities", model.families.index(family) + 1)
         named = F.lit(True)
@@ -249,20 +273,26 @@ def scan(docs: DataFrame) -> DataFrame:
     scored = scored.withColumn("all", F.concat("sure", guess))
     none = F.col("index").isNull()
     rows = F.when(F.size("all") > 0, F.col("all")).otherwise(F.array(F.lit(UNKNOWN)))
-    out = scored.select("row", "doc_id", "index", "paragraph", "each", "sure", "probabilities", F.explode(F.when(none, F.array(F.lit(UNKNOWN))).otherwise(rows)).alias("family"))
+    out = scored.select("row", "doc_id", "index", "paragraph", "marked", "each", "sure", "probabilities", F.explode(F.when(none, F.array(F.lit(UNKNOWN))).otherwise(rows)).alias("family"))
     clear = lambda c: F.when(~none, c)
     p = F.element_at("probabilities", F.array_position(F.lit(model.families), F.col("family")).cast("int"))
     overlap = F.coalesce(best(F.col("family")), F.lit(0.0))
-    return out.select("row", "doc_id", "index", clear(F.col("paragraph")).alias("paragraph"), clear(F.col("family")).alias("family"), clear(p).alias("probability"), clear(overlap).alias("overlap"), (~none & F.array_contains("sure", F.col("family"))).alias("confirmed"))
+    return out.select("row", "doc_id", "index", clear(F.col("paragraph")).alias("paragraph"), "marked", clear(F.col("family")).alias("family"), clear(p).alias("probability"), clear(overlap).alias("overlap"), (~none & F.array_contains("sure", F.col("family"))).alias("confirmed"))
 
 
 def by_document(docs: DataFrame) -> DataFrame:
-    """(doc_id, licences: confirmed families, sorted, by commas; n_confirmed, n_marked paragraphs, probability: the best confirmed one)."""
-    sure = F.col("confirmed")
+    """(doc_id, licences: confirmed families, sorted, by commas; n_confirmed, n_marked paragraphs, probability: the best confirmed one;
+    suspected: families that the classifier finds and templates don't confirm, sorted, by commas; n_suspected paragraphs,
+    suspected_probability: the best of these)."""
+    sure, guess = F.col("confirmed"), ~F.col("confirmed") & (F.col("family") != UNKNOWN)
+    families = lambda c: F.array_join(F.array_sort(F.collect_set(F.when(c, F.col("family")))), ",")
     rows = scan(docs).groupBy("row", "doc_id").agg(
-        F.array_join(F.array_sort(F.collect_set(F.when(sure, F.col("family")))), ",").alias("licences"),
+        families(sure).alias("licences"),
         F.sum(sure.cast("long")).alias("n_confirmed"),
-        F.count_distinct("index").alias("n_marked"),
+        F.size(F.collect_set(F.when(F.col("marked"), F.col("index")))).cast("long").alias("n_marked"),
         F.max(F.when(sure, F.col("probability"))).alias("probability"),
+        families(guess).alias("suspected"),
+        F.count_if(guess).alias("n_suspected"),
+        F.max(F.when(guess, F.col("probability"))).alias("suspected_probability"),
     )
     return rows.drop("row")

@@ -122,3 +122,37 @@ def test_long_lines_and_far_marks(spark):
     far = "prose of no matter here.\n" * 400
     texts = [far + "Released under the MIT License.\n" + far, "word " * 5000 + "released under the mit license " + "word " * 5000, "Released under the\n" + far + "MIT License."]
     assert licences_of(spark, texts) == ["MIT", "MIT", ""]
+
+
+def test_all_words_reach_the_classifier(spark):
+    """Marked or not, near a mark or far; and three neighbouring pieces without a mark always stand in one part."""
+    prose = "\n".join(f"word{i} stands here" for i in range(40))
+    texts = [prose, "alone", f"{prose}\n\nReleased under the MIT License.\n\nafter it\n{prose}", "a1 b1. c1 d1; e1\n--\nf1 " + "g1 h1 " * 60, None, "", "\u00e9 \u4e2d ..."]
+    got = licences.paragraphs(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    parts = {i: [r.paragraph for r in got if r.doc_id == i] for i in range(len(texts))}
+    for i, t in enumerate(texts[:4]):
+        assert set(t.lower().split()) - {"--"} == {w for p in parts[i] for w in p.lower().split()} - {"--"}
+    assert parts[4] == parts[5] == parts[6] == [None]
+    for k in range(38):
+        assert any(f"word{k} " in p and f"word{k + 2} " in p for p in parts[0])
+    assert [r.paragraph for r in got if r.marked] == ["Released under the MIT License."]
+    assert all(len(set(ix)) == len(ix) for ix in ([r["index"] for r in got if r.doc_id == i] for i in range(4)))
+
+
+def test_the_classifiers_verdict_reaches_the_result(spark, monkeypatch):
+    """What it finds without a template, in parts with and without a mark; and nothing of it if it knows nothing."""
+    from pyspark.sql import functions as F
+
+    score = licences.Classifier.score
+
+    def told(self, df):
+        """The classifier's own verdicts, but for one word that is ISC to it."""
+        out = score(self, df)
+        isc = F.lower("text").contains("zebra")
+        return out.withColumn("family", F.when(isc, "ISC").otherwise(licences.UNKNOWN)).withColumn("probability", F.when(isc, 0.9).otherwise(F.col("probability")))
+
+    texts = ["the zebra ran", "Released under the MIT License.\n\n" + "prose of no matter here.\n" * 9 + "a zebra", "a license of the zebra", "Released under the MIT License.", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(licences.Classifier, "score", told)
+    got = [(r.licences, r.suspected, r.n_marked, r.n_suspected) for r in licences.by_document(docs).orderBy("doc_id").collect()]
+    assert got == [("", "ISC", 0, 1), ("MIT", "ISC", 1, 1), ("", "ISC", 1, 1), ("MIT", "", 1, 0), ("", "", 0, 0)]
