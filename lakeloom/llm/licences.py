@@ -125,13 +125,17 @@ OTHERS = (
 )
 
 
+#: What becomes a word's letter or digit in lower case; two letters beyond ASCII do.
+WORDED = "[a-zA-Z0-9\u0130\u212a]"
+
+
 def grams(text: Column) -> Column:
     """Lower-case words and pairs of neighbouring words, which have a blank in them."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9]+(?:[.-][a-z0-9]+)*"), F.lit(0))
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9]++(?:[.-][a-z0-9]++)*+"), F.lit(0))
 
     def paired(w: Column) -> Column:
         n = F.greatest(F.size(w) - 1, F.lit(0))
-        return F.concat(w, F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b)))
+        return F.concat(w, F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b)))
 
     return _let(words, paired)
 
@@ -139,7 +143,8 @@ def grams(text: Column) -> Column:
 def paragraphs(docs: DataFrame) -> DataFrame:
     """(row, doc_id, index, paragraph, marked): all of each document that has words, in parts that may be a notice each, or one row
     with nulls."""
-    text = F.regexp_replace(F.regexp_replace("text", r"(?<=[.!?;])[ \t]+", "\n"), rf"(?<!\S)((?:\S++[ \t]++){{{PIECE}}})", "$1\n")
+    # words are counted from a line's begin or the last cut only, not again from each of them
+    text = F.regexp_replace(F.regexp_replace("text", r"([.!?;])[ \t]++", "$1\n"), rf"((?:\G|[\n\x0B\f\r])[ \t]*+(?:\S++[ \t]++){{{PIECE}}})", "$1\n")
 
     def runs(pieces: Column, kept) -> Column:
         """The kept pieces; the others become blank, and blank lines part notices."""
@@ -160,7 +165,7 @@ def paragraphs(docs: DataFrame) -> DataFrame:
 
     parts = _let(F.split(text, "\n"), lambda p: _let(F.transform(p, lambda x: F.lower(x).rlike(MARKS)), lambda f: parted(p, f)))
     parts = F.when(F.lower("text").rlike(MARKS), parts).otherwise(unmarked(F.split(text, BLANK)))
-    worded = F.filter(parts, lambda x: F.lower(x["paragraph"]).rlike("[a-z0-9]"))
+    worded = F.filter(parts, lambda x: x["paragraph"].rlike(WORDED))
     # numbered first: in one select the number would be taken after the explode
     numbered = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), worded.alias("parts"))
     return numbered.select("row", "doc_id", F.posexplode_outer("parts").alias("index", "x")).select("row", "doc_id", "index", "x.paragraph", "x.marked")
@@ -194,8 +199,8 @@ def examples(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def _counts(df: DataFrame) -> DataFrame:
-    """df (text, ...) with grams and their hashed set."""
-    return HashingTF(inputCol="grams", outputCol="features", numFeatures=FEATURES, binary=True).transform(df.withColumn("grams", grams(F.col("text"))))
+    """df (text, ...) with the hashed set of its grams, which are read only here and so not stored in rows."""
+    return HashingTF(inputCol="grams", outputCol="features", numFeatures=FEATURES, binary=True).transform(df.withColumn("grams", grams(F.col("text")))).drop("grams")
 
 
 class Classifier:
@@ -216,8 +221,9 @@ class Classifier:
 
 
 def _let(value: Column, body) -> Column:
-    """body of a value that is computed once: what stands in a lambda would be computed for each element."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+    """body of a value that is computed once: what stands in a lambda would be computed for each element. A fold hands values on as
+    they are, where F.transform would copy every text in them."""
+    return F.aggregate(F.array(F.lit(0)), value, lambda held, _: held, body)
 
 
 def _softmax(raw: Column, temperature: float) -> Column:
@@ -226,13 +232,20 @@ def _softmax(raw: Column, temperature: float) -> Column:
     return _let(raw, lambda r: _let(F.array_max(r), lambda m: _let(F.transform(r, lambda x: F.exp((x - m) / temperature)), shares)))
 
 
+def _by_feature(model: LogisticRegressionModel) -> LogisticRegressionModel:
+    """The same model with each feature's weights side by side, as a text's few features are looked up for all families."""
+    java = model._java_obj
+    made = getattr(SparkSession.active()._jvm, java.getClass().getName())
+    return LogisticRegressionModel(made(java.uid(), java.coefficientMatrix().toDenseColMajor(), java.interceptVector(), java.numClasses(), True))
+
+
 def train(docs: DataFrame) -> Classifier:
     spark = docs.sparkSession
     families = sorted({f for f, _ in TEMPLATES} | {UNKNOWN})
     number = F.array_position(F.lit(families), F.col("family")) - 1
     rows = _counts(examples(spark, docs)).withColumn("label", number.cast("double")).withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(5))).select("features", "label", "fold").repartition(4).cache()
     learner = LogisticRegression(maxIter=40, regParam=1e-4, family="multinomial")
-    model = learner.fit(rows.where("fold < 4"))
+    model = _by_feature(learner.fit(rows.where("fold < 4")))
     raw = model.transform(rows.where("fold = 4")).withColumn("raw", vector_to_array("rawPrediction"))
     loss = [F.sum(-F.log(F.greatest(F.element_at(_softmax(F.col("raw"), t), F.col("label").cast("int") + 1), F.lit(1e-9)))).alias(f"t{i}") for i, t in enumerate(TEMPERATURES)]
     held = raw.agg(*loss).first()
@@ -249,8 +262,8 @@ def scan(docs: DataFrame) -> DataFrame:
     model = train(docs)
     scored = model.score(found.withColumnRenamed("paragraph", "text").withColumn("text", F.coalesce("text", F.lit("")))).withColumnRenamed("text", "paragraph")
     every = F.lit(sorted({p for _, ps in PAIRS for p in ps}))
-    # words and pairs in one array; only pairs stand in `every`; templates can't confirm what has no mark
-    scored = scored.withColumn("held", F.when(F.col("marked") | (F.col("family") != UNKNOWN), F.array_intersect("grams", every)).otherwise(F.array().cast("array<string>"))).drop("grams")
+    # words and pairs in one array, made again for these few; only pairs stand in `every`; templates can't confirm what has no mark
+    scored = scored.withColumn("held", F.when(F.col("marked") | (F.col("family") != UNKNOWN), F.array_intersect(grams(F.col("paragraph")), every)).otherwise(F.array().cast("array<string>")))
     cases = []
     for family, ps in PAIRS:
         held = F.array_intersect(F.col("held"), F.lit(ps))
