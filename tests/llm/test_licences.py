@@ -156,3 +156,32 @@ def test_the_classifiers_verdict_reaches_the_result(spark, monkeypatch):
     monkeypatch.setattr(licences.Classifier, "score", told)
     got = [(r.licences, r.suspected, r.n_marked, r.n_suspected) for r in licences.by_document(docs).orderBy("doc_id").collect()]
     assert got == [("", "ISC", 0, 1), ("MIT", "ISC", 1, 1), ("", "ISC", 1, 1), ("MIT", "", 1, 0), ("", "", 0, 0)]
+
+
+def test_reading_all_text_stays_cheap(spark, found):
+    """What a check had found too slow: weights lie by feature, grams are in no row; and lines are cut where plain counting cuts them."""
+    import random
+
+    model = licences.train(found[2])
+    assert not model.model._java_obj.coefficientMatrix().isTransposed()
+    scored = model.score(spark.createDataFrame([("Released under the MIT License.",)], "text string"))
+    assert "grams" not in scored.columns
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(["a", "b1.", "é", "K", " ", " ", "\t", "\r", "\f", "\n", "x; "]) + rng.choice(["", " "]) for _ in range(900)) for _ in range(60)]
+    cuts = {(i, p) for i, t in enumerate(texts) for p in _pieces(t)}
+    got = {(r.doc_id, p) for r in licences.paragraphs(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect() for p in r.paragraph.split("\n")}
+    assert {c for c in cuts if "a" in c[1]} == {c for c in got if "a" in c[1]}
+
+
+def _pieces(text):
+    """Lines, cut after sentences and then after PIECE words with a blank behind each."""
+    out = []
+    for line in re.sub(r"(?<=[.!?;])[ \t]+", "\n", text).split("\n"):
+        words, piece = 0, ""
+        for token in re.findall(r"[^ \t\r\f\v]+[ \t]+|[^ \t\r\f\v]+|[ \t]+|[\r\f\v]", line):
+            piece += token
+            words = words + 1 if re.fullmatch(r"[^ \t\r\f\v]+[ \t]+", token) else words if token.isspace() and token.strip(" \t") == "" else 0
+            if words == licences.PIECE:
+                out, words, piece = [*out, piece], 0, ""
+        out.append(piece)
+    return out
