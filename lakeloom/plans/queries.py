@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lakeloom.errors import CommitConflict, SealFailure
 from lakeloom.functions import paths, types
 from lakeloom.functions.keys import SYSTEM_KEYS, Keys
-from lakeloom.operators import conflicts, merge
+from lakeloom.operators import conflicts, forest, merge
 from lakeloom.operators.catalog import CASCADE, Catalog, connect
 from lakeloom.operators.tree import Node, Tree, from_arrow
 from lakeloom.sources.storage import URI, open_storage
@@ -791,19 +791,18 @@ def system_names(spark, sf_dir):
 # ---- the stored tree
 
 
-def _tree(spark, sf_dir) -> tuple[Tree, Node, list[tuple[str, str]]]:
-    """A tree of small nodes over all customers, put in the order of their names' ends; not written yet."""
-    rows = [(r.c_name, r.c_mktsegment) for r in spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_name", "c_mktsegment").collect()]  # a tree is built by one writer
-    tree, top = Tree(open_storage(_place(spark)), order=8), Node()
-    for k, v in sorted(rows, key=lambda r: r[0][::-1]):
-        top = tree.put(top, k, v)
-    return tree, top, rows
+def _planted(spark, sf_dir) -> tuple[Tree, Node, DataFrame]:
+    """A written tree of small nodes over all customers, put in the order of their names' ends, and the entries that it was made of."""
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    ranges = forest.dealt(customers.select(F.col("c_name").alias("key"), F.col("c_mktsegment").alias("value"), F.reverse("c_name").alias("turn")))
+    tree = Tree(open_storage(_place(spark)), order=8)
+    return tree, forest.plant(ranges, tree), ranges
 
 
-def _every(tree: Tree, top: Node):
-    yield top
-    for c in top.children:
-        yield from _every(tree, tree._node(c))
+def _stored(spark, rows: DataFrame) -> DataFrame:
+    at = f"{_place(spark)}/rows"
+    rows.write.parquet(at)
+    return spark.read.parquet(at)
 
 
 _RANKED = "select c_name as key, c_mktsegment as value, cast(row_number() over (order by c_name) as integer) as position from customer"
@@ -811,45 +810,35 @@ _RANKED = "select c_name as key, c_mktsegment as value, cast(row_number() over (
 
 @query(f"select 'dirty' as state, key, value, position from ({_RANKED}) union all select 'persisted', key, value, position from ({_RANKED})")
 def tree_scan_dirty_and_persisted(spark, sf_dir):
-    tree, top, _ = _tree(spark, sf_dir)
-    written = tree.write(top)
-    fresh = Tree(tree.storage, order=8)  # nothing in its cache
-    rows = [(state, k, v, i + 1) for state, t, n in (("dirty", tree, top), ("persisted", fresh, written)) for i, (k, v) in enumerate(t.scan(n))]
-    return spark.createDataFrame(rows, "state string, key string, value string, position int")
+    tree, top, ranges = _planted(spark, sf_dir)
+    scans = {"dirty": forest.scan_unwritten(ranges, tree.order), "persisted": forest.scan(spark, tree, top)}
+    rows = [forest.positions(_stored(spark, found)).select(F.lit(state).alias("state"), "key", "value", "position") for state, found in scans.items()]
+    return rows[0].unionByName(rows[1])
 
 
 @query("select c_name as target, c_mktsegment as found, c_name as floor, c_name as floor_after from customer")
 def tree_lookup(spark, sf_dir):
-    tree, top, rows = _tree(spark, sf_dir)
-    top = tree.write(top)
-    return spark.createDataFrame([(k, tree.get(top, k), tree.floor(top, k)[0], tree.floor(top, k + "!")[0]) for k, _ in rows], "target string, found string, floor string, floor_after string")
+    tree, top, entries = _planted(spark, sf_dir)
+    ask = lambda t, top, k: (k, t.get(top, k), t.floor(top, k)[0], t.floor(top, k + "!")[0])
+    return forest.ask(tree, top, entries.select("key"), ask, "target string, found string, floor string, floor_after string")
 
 
 @query("select cast(count(*) as bigint) as keys, true as sorted, true as within_order, true as one_height from customer")
 def tree_split_invariants(spark, sf_dir):
-    tree, top, _ = _tree(spark, sf_dir)
-    nodes = list(_every(tree, top))
-
-    def heights(node):
-        below = {h + 1 for c in node.children for h in heights(tree._node(c))}
-        return below or {0}
-
-    keys = [k for k, _ in tree.scan(top)]
-    halves = all(3 <= len(n.keys) < 7 for n in nodes if n is not top)  # a full node of 7 keys is halved around its pivot
-    return spark.createDataFrame([(sum(len(n.keys) for n in nodes), keys == sorted(keys), halves, len(heights(top)) == 1)], "keys long, sorted boolean, within_order boolean, one_height boolean")
+    tree, top, _ = _planted(spark, sf_dir)
+    found = forest.shape(spark, tree, top)
+    halves = found["least"] >= 3 and found["most"] < 7  # a full node of 7 keys is halved around its pivot
+    return spark.createDataFrame([(found["keys"], found["sorted"], halves, len(found["heights"]) == 1)], "keys long, sorted boolean, within_order boolean, one_height boolean")
 
 
 @query("select 'changed' as state, true as one_path, cast(count(*) as bigint) as keys from customer")
 def tree_change_writes_one_path(spark, sf_dir):
-    tree, top, rows = _tree(spark, sf_dir)
-    top = tree.write(top)
-    before, height = {*tree.storage.list()}, 0
-    node = top
-    while node.children:
-        node, height = tree._node(node.children[0]), height + 1
-    changed = tree.write(tree.put(top, rows[0][0], "changed"))
-    new = {*tree.storage.list()} - before
-    return spark.createDataFrame([(tree.get(changed, rows[0][0]), len(new) <= height, len(list(tree.scan(changed))))], "state string, one_path boolean, keys long")
+    tree, top, entries = _planted(spark, sf_dir)
+    key, made, create = entries.first().key, [], tree.storage.create
+    tree.storage.create = lambda path, data: (made.append(path), create(path, data))  # all that is written from here on
+    changed = tree.write(tree.put(top, key, "changed"))
+    assert all(tree.storage.exists(p) for p in made)
+    return forest.scan(spark, tree, changed).agg(F.lit(tree.get(changed, key)).alias("state"), F.lit(len(made) <= tree.height(top)).alias("one_path"), F.count("*").alias("keys"))
 
 
 @query("select * from (values ('catalog_def'), ('created_at_millis'), ('n_actions'), ('n_keys'), ('previous_root')) t(key)")

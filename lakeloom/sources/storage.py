@@ -46,6 +46,11 @@ class Storage:
         """Writes a new file as a whole, or raises SealFailure if it exists."""
         raise NotImplementedError
 
+    def create_all(self, files: list[tuple[str, bytes]]) -> None:
+        """Creates files in this order."""
+        for path, data in files:
+            self.create(path, data)
+
     def overwrite(self, path: str, data: bytes) -> None:
         raise NotImplementedError
 
@@ -76,20 +81,25 @@ class Storage:
                 other.create(p, self.read(p))
 
 
+#: Files that are synchronized together rather than one by one, at least.
+BULK = 64
+
+
 class LocalStorage(Storage):
     """A local or mounted file system. A file is written aside and then linked to its name, which fails if the name is taken."""
 
     def _at(self, path: str) -> str:
         return os.path.join(self.root.path, path)
 
-    def _staged(self, path: str, data: bytes) -> str:
+    def _staged(self, path: str, data: bytes, settled: bool = True) -> str:
         at = self._at(path)
         os.makedirs(os.path.dirname(at), exist_ok=True)
         staged = os.path.join(os.path.dirname(at), f".{uuid.uuid4().hex}.tmp")
         with open(staged, "wb") as f:
             f.write(data)
-            f.flush()
-            os.fsync(f.fileno())
+            if settled:
+                f.flush()
+                os.fsync(f.fileno())
         return staged
 
     def read(self, path: str) -> bytes:
@@ -103,7 +113,9 @@ class LocalStorage(Storage):
         return self._at(path)
 
     def create(self, path: str, data: bytes) -> None:
-        staged = self._staged(path, data)
+        self._sealed(self._staged(path, data), path)
+
+    def _sealed(self, staged: str, path: str) -> None:
         try:
             os.link(staged, self._at(path))
         except FileExistsError as e:
@@ -111,6 +123,17 @@ class LocalStorage(Storage):
         finally:
             os.unlink(staged)
 
+    def create_all(self, files: list[tuple[str, bytes]]) -> None:
+        if len(files) < BULK:
+            return super().create_all(files)
+        staged = [self._staged(path, data, settled=False) for path, data in files]
+        os.sync()  # writes them together, so that each one's own sync below, which tells of errors, has little left to do
+        for at in staged:
+            with open(at, "rb") as f:
+                os.fsync(f.fileno())
+        for at, (path, _) in zip(staged, files, strict=True):
+            self._sealed(at, path)
+
     def overwrite(self, path: str, data: bytes) -> None:
         os.replace(self._staged(path, data), self._at(path))
 

@@ -5,8 +5,11 @@ from contextlib import contextmanager
 import pytest
 from pyspark.sql import functions as F
 
-from lakeloom.operators import table
+from lakeloom.errors import SealFailure
+from lakeloom.operators import forest, table
 from lakeloom.operators.catalog import connect
+from lakeloom.operators.tree import Node, Tree
+from lakeloom.sources.storage import LocalStorage
 
 
 @contextmanager
@@ -35,3 +38,58 @@ def test_a_large_partition_is_written_by_several_tasks(spark, tmp_path, adaptive
     rows = {p: [f["rows"] for f in found if f["partition"] == f'{{"p": "{p}"}}'] for p in ("large", "small")}
     assert len(rows["large"]) > 2 and max(rows["large"]) < 100000 and sum(rows["large"]) == 199800 and sum(rows["small"]) == 200
     assert cat.table("n.t").exceptAll(df).count() == 0 == df.exceptAll(cat.table("n.t")).count()
+
+
+def _valid(tree, top):
+    def walk(node, depth, above):
+        assert len(node.keys) < tree.order - 1 and (not above or len(node.keys) >= tree.order // 2 - 1)
+        assert not node.children or len(node.children) == len(node.keys) + 1
+        return set().union(*(walk(tree._node(c), depth + 1, True) for c in node.children)) if node.children else {depth}
+
+    return len(walk(top, 0, False)) == 1
+
+
+@pytest.mark.parametrize("order", [4, 5, 8, 128])
+@pytest.mark.parametrize("sizes", [(0, 0), (0, 1), (1, 700), (700, 0), (3, 3), (6, 7), (40, 2000), (2000, 40), (900, 900), (1, 1, 1, 500, 0, 0, 3, 64, 8)])
+def test_joined_trees_are_trees(tmp_path, order, sizes):
+    tree, n, parts = Tree(LocalStorage(str(tmp_path)), order), 0, []
+    for size in sizes:
+        own = Node()
+        for k in range(n, n + size):
+            own = tree.put(own, f"{k:06d}", str(k))
+        parts.append((tree.write(own), f"{n + size:06d}"))
+        n += size + 1
+    (top, _), entry = parts[0], parts[0][1]
+    height = tree.height(top)
+    for own, after in parts[1:]:
+        top, height = tree.join(top, height, (entry, "x"), own, tree.height(own))
+        entry = after
+        assert height == tree.height(top) and _valid(tree, top)
+    assert [k for k, _ in tree.scan(top)] == [f"{k:06d}" for k in range(n - 1)]
+
+
+@pytest.mark.parametrize("n", [0, 1, 5, 3000])
+def test_a_tree_planted_by_tasks(spark, tmp_path, n):
+    names = spark.range(n).select(F.format_string("k%06d", F.col("id") * 7 % 10007).alias("key"), F.col("id").cast("string").alias("value"), F.xxhash64("id").alias("turn"))
+    ranges, tree = forest.dealt(names), Tree(LocalStorage(str(tmp_path / "t")), 8)
+    held = sorted((r.key, r.value) for r in names.collect())
+    top = forest.plant(ranges, tree)
+    assert tree.storage.list("node") != [] or n < 10
+    assert len(tree._cache) < n / 8 + 20  # the driver has seen few of the nodes
+    fresh = Tree(tree.storage, 8)
+    assert list(fresh.scan(top)) == held and _valid(fresh, top)
+    for found in (forest.scan(spark, tree, top), forest.scan_unwritten(ranges, 8)):
+        assert sorted((r.position, r.key, r.value) for r in forest.positions(found).collect()) == [(i + 1, *e) for i, e in enumerate(held)]
+    shape = forest.shape(spark, tree, top)
+    assert shape["keys"] == n and shape["sorted"] and len(shape["heights"]) == 1 and shape["most"] < 7
+    asked = forest.ask(tree, top, names.select(F.concat("key", F.lit("x"))), lambda t, top, k: (k, t.floor(top, k)[0]), "k string, f string").collect()
+    assert sorted((r.k, r.f) for r in asked) == [(k + "x", k) for k, _ in held]
+
+
+def test_many_files_at_once(tmp_path):
+    store = LocalStorage(str(tmp_path))
+    store.create_all([(f"node/{i}", str(i).encode()) for i in range(200)])
+    assert len(store.list()) == 200 and store.read("node/7") == b"7"
+    with pytest.raises(SealFailure):
+        store.create_all([(f"node/{i}", b"other") for i in range(199, 399)])
+    assert store.read("node/199") == b"199"
