@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,10 +47,20 @@ def _range(df: DataFrame, key: str = "key") -> Column:
     if not bounds:
         return F.lit(0)
     # how many bounds are not above the key, by bisection
+    if df.schema[key].dataType.typeName() in ("string", "byte", "short", "integer", "long"):  # Python orders these as Spark does
+        return _bisected(bounds)(F.col(key))
     walk = F.aggregate(F.sequence(F.lit(1), F.lit(len(bounds).bit_length() + 1)), F.struct(F.lit(0).alias("a"), F.lit(len(bounds)).alias("z")), lambda w, _: F.when(w["a"] >= w["z"], w).otherwise(_narrowed(w, bounds, F.col(key))), lambda w: w["a"])
     return F.when(F.col(key).isNull(), 0).otherwise(walk)
 
 
+def _bisected(bounds: list):
+    @F.arrow_udf("int")
+    def number(keys: pa.Array) -> pa.Array:
+        return pa.array([0 if k is None else bisect_right(bounds, k) for k in keys.to_pylist()], pa.int32())
+
+    return number
+
+
 def _narrowed(w: Column, bounds: list, key: Column) -> Column:
     mid = F.floor((w["a"] + w["z"]) / 2).cast("int")
     below = F.get(F.lit(bounds), mid) <= key
@@ -81,13 +93,15 @@ def floor_lookup(entries: DataFrame, targets: DataFrame, target: str, key: str =
     """For each target the greatest key that is not above it. One sorted pass over both sides in ranges of keys; what a range lacks
     comes from the last key of the ranges before, of which there is one row a range."""
     both = entries.select(F.col(key).alias("k"), F.col(value).alias("v"), F.lit(0).alias("asked")).unionByName(targets.select(F.col(target).alias("k"), F.lit(None).cast("string").alias("v"), F.lit(1).alias("asked")))
-    both = both.withColumn("range", _range(both, "k"))
+    number = _range(both, "k")
+    both = both.withColumn("range", number)
     inside = Window.partitionBy("range").orderBy("k", "asked").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     held = F.when(F.col("asked") == 0, F.struct("k", "v"))
     found = both.withColumn("near", F.last(held, ignorenulls=True).over(inside)).where("asked = 1")
-    tops = both.groupBy("range").agg(F.max_by(held, F.when(F.col("asked") == 0, F.col("k"))).alias("top"))
+    tops = entries.select(F.col(key).alias("k"), F.col(value).alias("v")).groupBy(number.alias("range")).agg(F.max_by(F.struct("k", "v"), F.col("k")).alias("top"))
     w = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
-    before = tops.select("range", F.last("top", ignorenulls=True).over(w).alias("before"))
+    ranges = entries.sparkSession.range(int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")) + 1).select(F.col("id").cast("int").alias("range"))
+    before = ranges.join(tops, "range", "left").select("range", F.last("top", ignorenulls=True).over(w).alias("before"))  # ranges without entries, too
     out = found.join(F.broadcast(before), "range").withColumn("near", F.coalesce("near", "before"))  # no more rows than ranges
     return out.select(F.col("k").alias(target), F.col("near.k").alias(key), F.col("near.v").alias(value))
 

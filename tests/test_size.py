@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakeloom.errors import SealFailure
-from lakeloom.operators import forest, table
+from lakeloom.operators import forest, merge, table
 from lakeloom.operators.catalog import connect
 from lakeloom.operators.tree import Node, Tree
 from lakeloom.sources.storage import LocalStorage
@@ -93,3 +93,23 @@ def test_many_files_at_once(tmp_path):
     with pytest.raises(SealFailure):
         store.create_all([(f"node/{i}", b"other") for i in range(199, 399)])
     assert store.read("node/199") == b"199"
+
+
+def test_ranges_are_found_without_a_walk_a_row(spark):
+    """Numbers of ranges come from one bisection a key, for text in the order of its bytes, and ranges without entries have what lies before."""
+    keys = [None, "", "a", "é", "z", "￿", "\U0001f600", *(f"k{i:05d}" for i in range(500))]
+    df = spark.createDataFrame([(k,) for k in keys], "key string")
+    with settings(spark, spark__sql__shuffle__partitions="7"):
+        dealt = df.withColumn("range", merge._range(df, "key"))
+        assert "aggregate" not in dealt._jdf.queryExecution().optimizedPlan().toString()
+        got = [(r.key, r.range) for r in dealt.orderBy(F.col("key").asc_nulls_first()).collect()]
+        assert [k for k, _ in got] == [None, *sorted(keys[1:], key=str.encode)] and got[0][1] == 0
+        assert [n for _, n in got] == sorted(n for _, n in got) and len({n for _, n in got}) > 3
+        for typed in ("int", "double", "date", "timestamp"):
+            like = spark.range(300).select((F.col("id").cast(typed) if typed != "date" else F.date_add(F.lit("2020-01-01").cast("date"), F.col("id").cast("int"))).alias("key"))
+            ordered = [r.range for r in like.withColumn("range", merge._range(like, "key")).orderBy("key").collect()]
+            assert ordered == sorted(ordered) and len({*ordered}) > 3
+        entries = spark.createDataFrame([("b", "1"), ("y", "2"), (None, "3")], "key string, value string")
+        asked = spark.createDataFrame([(f"k{i:05d}",) for i in range(500)] + [("a",), ("z",), (None,)], "t string")
+        found = {r.t: r.key for r in merge.floor_lookup(entries, asked, "t").collect()}
+        assert found == {**{f"k{i:05d}": "b" for i in range(500)}, "a": None, "z": "y", None: None}
