@@ -135,7 +135,7 @@ def grams(text: Column) -> Column:
 
     def paired(w: Column) -> Column:
         n = F.greatest(F.size(w) - 1, F.lit(0))
-        return F.concat(w, F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b)))
+        return F.concat(w, F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b)))
 
     return _let(words, paired)
 
@@ -254,10 +254,10 @@ def train(docs: DataFrame) -> Classifier:
     return Classifier(model, families, temperature)
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, plain: bool = True) -> DataFrame:
     """(row, doc_id, index, paragraph, marked, family, probability, overlap, confirmed): for each paragraph of docs (doc_id, text) its
     confirmed families and the classifier's if its templates don't suffice, or else unknown; and one row with nulls for a document
-    without any."""
+    without any. Not plain: without rows of unmarked paragraphs in which nothing was found, other than a document's first."""
     found = paragraphs(docs.select("doc_id", "text"))
     model = train(docs)
     scored = model.score(found.withColumnRenamed("paragraph", "text").withColumn("text", F.coalesce("text", F.lit("")))).withColumnRenamed("text", "paragraph")
@@ -285,7 +285,9 @@ def scan(docs: DataFrame) -> DataFrame:
     guess = F.when((F.col("family") != UNKNOWN) & (F.coalesce(best(F.col("family")), F.lit(0.0)) < OVERLAP), F.array(F.col("family"))).otherwise(F.array().cast("array<string>"))
     scored = scored.withColumn("all", F.concat("sure", guess))
     none = F.col("index").isNull()
-    rows = F.when(F.size("all") > 0, F.col("all")).otherwise(F.array(F.lit(UNKNOWN)))
+    # left out here, where a row's families are known: a filter would be pushed below the classifier, which would run twice
+    kept = F.lit(plain) | F.col("marked") | (F.col("index") == 0)
+    rows = F.when(F.size("all") > 0, F.col("all")).when(kept, F.array(F.lit(UNKNOWN))).otherwise(F.array().cast("array<string>"))
     out = scored.select("row", "doc_id", "index", "paragraph", "marked", "each", "sure", "probabilities", F.explode(F.when(none, F.array(F.lit(UNKNOWN))).otherwise(rows)).alias("family"))
     clear = lambda c: F.when(~none, c)
     p = F.element_at("probabilities", F.array_position(F.lit(model.families), F.col("family")).cast("int"))
@@ -299,7 +301,7 @@ def by_document(docs: DataFrame) -> DataFrame:
     suspected_probability: the best of these)."""
     sure, guess = F.col("confirmed"), ~F.col("confirmed") & (F.col("family") != UNKNOWN)
     families = lambda c: F.array_join(F.array_sort(F.collect_set(F.when(c, F.col("family")))), ",")
-    rows = scan(docs).groupBy("row", "doc_id").agg(
+    rows = scan(docs, plain=False).groupBy("row", "doc_id").agg(
         families(sure).alias("licences"),
         F.sum(sure.cast("long")).alias("n_confirmed"),
         F.size(F.collect_set(F.when(F.col("marked"), F.col("index")))).cast("long").alias("n_marked"),
