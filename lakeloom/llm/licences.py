@@ -24,6 +24,7 @@ Empty table: no rows. Other columns: not read, whatever their names.
 
 from __future__ import annotations
 
+import functools
 import re
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -135,7 +136,7 @@ def grams(text: Column) -> Column:
 
     def paired(w: Column) -> Column:
         n = F.greatest(F.size(w) - 1, F.lit(0))
-        return F.concat(w, F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b)))
+        return F.concat(w, F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b)))  # concat_ws takes half as long again
 
     return _let(words, paired)
 
@@ -212,12 +213,12 @@ class Classifier:
     def score(self, df: DataFrame) -> DataFrame:
         """df (text, ...) with family and probability; unknown where no family is certain."""
         raw = self.model.transform(_counts(df)).withColumn("raw", vector_to_array("rawPrediction"))
-        raw = raw.withColumn("p", _softmax(F.col("raw"), self.temperature))
-        p = p_kept = F.col("p")
-        best = F.array_max(F.transform(p, lambda x, i: F.struct(x.alias("p"), i.alias("i"))))
-        out = raw.withColumn("best", best).drop("raw", "rawPrediction", "probability", "prediction", "features")
-        name = F.element_at(F.lit(self.families), F.col("best.i").cast("int") + 1)
-        return out.withColumn("family", F.when(F.col("best.p") >= CERTAIN, name).otherwise(UNKNOWN)).withColumn("probability", F.col("best.p")).withColumn("probabilities", p_kept).drop("best", "p")
+        raw = raw.drop("rawPrediction", "probability", "prediction", "features")
+        n = len(self.families)
+        out = _softmax(raw, n, self.temperature, "probabilities").drop("raw").withColumn("probability", F.array_max("probabilities"))
+        last = n + 1 - F.array_position(F.reverse("probabilities"), F.col("probability"))  # of equal ones
+        name = F.element_at(F.lit(self.families), last.cast("int"))
+        return out.withColumn("family", F.when(F.col("probability") >= CERTAIN, name).otherwise(UNKNOWN))
 
 
 def _let(value: Column, body) -> Column:
@@ -226,10 +227,14 @@ def _let(value: Column, body) -> Column:
     return F.aggregate(F.array(F.lit(0)), value, lambda held, _: held, body)
 
 
-def _softmax(raw: Column, temperature: float) -> Column:
-    total = lambda e: F.aggregate(e, F.lit(0.0), lambda a, y: a + y)
-    shares = lambda e: _let(total(e), lambda s: F.transform(e, lambda x: x / s))
-    return _let(raw, lambda r: _let(F.array_max(r), lambda m: _let(F.transform(r, lambda x: F.exp((x - m) / temperature)), shares)))
+def _softmax(df: DataFrame, n: int, temperature: float, out: str) -> DataFrame:
+    """df with the shares of its n values `raw`, written out one by one and in steps, each of which Spark compiles and computes once:
+    lambdas are interpreted."""
+    each = lambda c: [F.get(c, F.lit(i)) for i in range(n)]
+    df = df.withColumn("most", F.array_max("raw"))
+    df = df.withColumn(out, F.array(*[F.exp((x - F.col("most")) / temperature) for x in each("raw")]))
+    df = df.withColumn("total", functools.reduce(lambda a, x: a + x, each(out), F.lit(0.0)))
+    return df.withColumn(out, F.array(*[x / F.col("total") for x in each(out)])).drop("most", "total")
 
 
 def _by_feature(model: LogisticRegressionModel) -> LogisticRegressionModel:
@@ -247,7 +252,9 @@ def train(docs: DataFrame) -> Classifier:
     learner = LogisticRegression(maxIter=40, regParam=1e-4, family="multinomial")
     model = _by_feature(learner.fit(rows.where("fold < 4")))
     raw = model.transform(rows.where("fold = 4")).withColumn("raw", vector_to_array("rawPrediction"))
-    loss = [F.sum(-F.log(F.greatest(F.element_at(_softmax(F.col("raw"), t), F.col("label").cast("int") + 1), F.lit(1e-9)))).alias(f"t{i}") for i, t in enumerate(TEMPERATURES)]
+    for i, t in enumerate(TEMPERATURES):
+        raw = _softmax(raw, len(families), t, f"t{i}")
+    loss = [F.sum(-F.log(F.greatest(F.element_at(f"t{i}", F.col("label").cast("int") + 1), F.lit(1e-9)))).alias(f"t{i}") for i in range(len(TEMPERATURES))]
     held = raw.agg(*loss).first()
     temperature = min(zip([x if x is not None else 0.0 for x in held], [abs(t - 1) for t in TEMPERATURES], TEMPERATURES, strict=True))[2]
     rows.unpersist()
@@ -261,6 +268,12 @@ def scan(docs: DataFrame, plain: bool = True) -> DataFrame:
     found = paragraphs(docs.select("doc_id", "text"))
     model = train(docs)
     scored = model.score(found.withColumnRenamed("paragraph", "text").withColumn("text", F.coalesce("text", F.lit("")))).withColumnRenamed("text", "paragraph")
+    # left out before the templates' turn, which took a fifth of the classifier's time for rows in which nothing is; by an explode, as
+    # a filter would be pushed below the classifier, which would run twice
+    none = F.col("index").isNull()
+    kept = F.lit(plain) | none | F.col("marked") | (F.col("index") == 0)
+    if not plain:
+        scored = scored.withColumn("once", F.explode(F.when(kept | (F.col("family") != UNKNOWN), F.array(F.lit(0))).otherwise(F.array().cast("array<int>")))).drop("once")
     every = F.lit(sorted({p for _, ps in PAIRS for p in ps}))
     # words and pairs in one array, made again for these few; only pairs stand in `every`; templates can't confirm what has no mark
     scored = scored.withColumn("held", F.when(F.col("marked") | (F.col("family") != UNKNOWN), F.array_intersect(grams(F.col("paragraph")), every)).otherwise(F.array().cast("array<string>")))
@@ -284,9 +297,6 @@ def scan(docs: DataFrame, plain: bool = True) -> DataFrame:
     scored = scored.withColumn("sure", sure)
     guess = F.when((F.col("family") != UNKNOWN) & (F.coalesce(best(F.col("family")), F.lit(0.0)) < OVERLAP), F.array(F.col("family"))).otherwise(F.array().cast("array<string>"))
     scored = scored.withColumn("all", F.concat("sure", guess))
-    none = F.col("index").isNull()
-    # left out here, where a row's families are known: a filter would be pushed below the classifier, which would run twice
-    kept = F.lit(plain) | F.col("marked") | (F.col("index") == 0)
     rows = F.when(F.size("all") > 0, F.col("all")).when(kept, F.array(F.lit(UNKNOWN))).otherwise(F.array().cast("array<string>"))
     out = scored.select("row", "doc_id", "index", "paragraph", "marked", "each", "sure", "probabilities", F.explode(F.when(none, F.array(F.lit(UNKNOWN))).otherwise(rows)).alias("family"))
     clear = lambda c: F.when(~none, c)
