@@ -87,6 +87,23 @@ def release() -> None:
         trim(0)
 
 
+def release_driver(spark: SparkSession) -> None:
+    """The same for the driver's JVM: its unused heap, and what its native allocator keeps of freed buffers, where the JVM can tell it to."""
+    gc.collect()
+    jvm = spark.sparkContext._jvm
+    jvm.System.gc()
+    try:  # by the interface's method, as the server's own class is closed to py4j
+        made, kind = spark.sparkContext._gateway.new_array, jvm.java.lang.Class.forName
+        server, text = kind("javax.management.MBeanServer"), kind("java.lang.String")
+        types, values = made(jvm.java.lang.Class, 4), made(jvm.java.lang.Object, 4)
+        types[0], types[1] = kind("javax.management.ObjectName"), text
+        types[2], types[3] = made(jvm.java.lang.Object, 0).getClass(), made(jvm.java.lang.String, 0).getClass()
+        values[0], values[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        server.getMethod("invoke", types).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), values)
+    except Exception:  # noqa: BLE001  not every JVM has the command
+        return
+
+
 def trimmed(run):
     """run, a function over Arrow batches, with a release at the end of its task."""
 

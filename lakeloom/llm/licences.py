@@ -33,6 +33,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import release_driver
+
 UNKNOWN = "unknown"
 #: Texts of the corpus, and parts of them, that training takes as examples of no licence, at most.
 NEGATIVES = 2000
@@ -248,9 +250,14 @@ def train(docs: DataFrame) -> Classifier:
     spark = docs.sparkSession
     families = sorted({f for f, _ in TEMPLATES} | {UNKNOWN})
     number = F.array_position(F.lit(families), F.col("family")) - 1
-    rows = _counts(examples(spark, docs)).withColumn("label", number.cast("double")).withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(5))).select("features", "label", "fold").repartition(4).cache()
+    # the features are made in several tasks, but one learns from the few rows: in each round every task of the learner sends the driver
+    # sums as large as the model
+    rows = _counts(examples(spark, docs)).withColumn("label", number.cast("double")).withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(5))).select("features", "label", "fold").repartition(1).cache()
     learner = LogisticRegression(maxIter=40, regParam=1e-4, family="multinomial")
+    rows.count()
+    release_driver(spark)  # the learner keeps some 40 vectors as large as the model there; what others left would add up with them
     model = _by_feature(learner.fit(rows.where("fold < 4")))
+    release_driver(spark)
     raw = model.transform(rows.where("fold = 4")).withColumn("raw", vector_to_array("rawPrediction"))
     for i, t in enumerate(TEMPERATURES):
         raw = _softmax(raw, len(families), t, f"t{i}")
