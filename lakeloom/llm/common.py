@@ -104,6 +104,13 @@ def release_driver(spark: SparkSession) -> None:
         return
 
 
+def release_executors(spark: SparkSession) -> None:
+    """The same for the executors' heaps, which garbage alone lets grow to their limit. It is more than unused memory: a process that an
+    executor starts (where Hadoop has no native library, one for the mode of each file it writes) counts as large as its heap for a moment."""
+    n = spark.sparkContext.defaultParallelism  # as many tasks as cores: at once, so that every executor gets some; it collects once for them
+    spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')")).collect()
+
+
 def trimmed(run):
     """run, a function over Arrow batches, with a release at the end of its task."""
 

@@ -51,6 +51,8 @@ SKETCH, LIKELY = 128, 0.65
 #: Members of a large bucket that are compared, and the mean similarity from which on it is not split: most of its pairs would meet again.
 PROBES, DENSE = 8, 0.4
 BLOCK = 256
+#: Nodes times tokens that are tried at once.
+TRIED = 1 << 18
 #: Bytes that are broadcast at most; beyond that they are joined by a shuffle.
 BROADCAST_BYTES = 1 << 26
 
@@ -87,9 +89,10 @@ def _threshold(n: int) -> np.uint64:
 
 
 def taken(tokens: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The children of the given nodes of one set's paths: index of the node and the child's key."""
-    odd = (nodes | np.uint64(1))[:, None]
-    which, token = np.nonzero((common.mix(nodes)[:, None] ^ tokens[None, :]) * odd >> np.uint64(32) < _threshold(len(tokens)))
+    """The children of the given nodes of one set's paths: index of the node and the child's key. A long text's tokens go in pieces."""
+    odd, mixed, often, step = (nodes | np.uint64(1))[:, None], common.mix(nodes)[:, None], _threshold(len(tokens)), max(1, TRIED // max(1, len(nodes)))
+    found = [(w, at + t) for at in range(0, len(tokens), step) for w, t in [np.nonzero((mixed ^ tokens[None, at : at + step]) * odd >> np.uint64(32) < often)]]
+    which, token = (np.concatenate(x) for x in zip(*found, strict=True))
     return which, common.mix(nodes[which] ^ common.mix(tokens[token] + np.uint64(0x632BE59BD9B4E019)))
 
 
@@ -343,7 +346,10 @@ def classes(docs: DataFrame) -> DataFrame:
     by_set = all_sets.groupBy("s1", "s2").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("least"), F.count("*").alias("copies"))
     by_set = common.stored(by_set.select("s1", "s2", "copies", F.col("least.rid").alias("rid"), F.col("least.doc_id").alias("least_id")))
     reps = common.stored(all_sets.join(by_set.select("rid", "copies"), "rid").select("rid", "doc_id", "tk", "copies", "paths", "sketch"))
-    links, spanning = verified(docs, reps, candidates(buckets(docs, reps), reps))
+    common.release_executors(docs.sparkSession)
+    met = buckets(docs, reps)
+    common.release_executors(docs.sparkSession)
+    links, spanning = verified(docs, reps, candidates(met, reps))
     label = components(spanning).withColumnsRenamed({"node": "rid", "label": "class"})
     joined = common.stored(by_set.join(label, "rid", "left").join(links, "rid", "left").select("s1", "s2", "rid", "least_id", F.coalesce("class", "rid").alias("class"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
     head = joined.groupBy("class").agg(F.min(F.struct(F.col("least_id").isNull(), "least_id", "rid")).alias("head"))

@@ -3,16 +3,30 @@ columns of documents."""
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, mixing, packing, quality, substring
+from . import common, jaccard, mixing, packing, quality, substring
 
 #: Documents that score less are rejected.
 QUALITY = 0.3
 
 
+def _released(stage):
+    """stage, which begins by having the executors give back the memory that the one before it left."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        common.release_executors(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@_released
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the classifier, trained on the labels of the table beside them, rejects. Null and empty texts: scored by the
     bias alone. Null ids: scored as any. Very long texts: read whole. Repeated rows: each for itself. Empty table: no rows. No labels:
@@ -23,12 +37,14 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return scored.where(F.col("_ll_score") >= QUALITY).select(*names).toDF(*docs.columns)
 
 
+@_released
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of exact and near copies the document of the least id. Null and empty texts: one group. Null ids: the last to be
     kept. Very long texts: compared whole. Repeated rows: one of them stays. Empty table: no rows. Other columns: kept."""
     return jaccard.deduplicate(docs)
 
 
+@_released
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts passages out of texts that stand in an earlier document or earlier in the same one; a document of which no word is left goes.
     Null text: empty. Null ids: the first in order. Ties of ids: by the text's hash. Very long texts: whole. Empty table: no rows. Other
@@ -36,6 +52,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return substring.without_repeats(docs)
 
 
+@_released
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Draws documents, whole, to the sources' target weights: some more than once, some not at all. A source's last block, which the
     target cuts, counts if more than half of it is taken. Rows come shard by shard of the splitting tree, each in its shuffled order.
@@ -46,6 +63,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drawn.sortWithinPartitions("shard", "slot").select("row.*")
 
 
+@_released
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the documents' token ids into sequences. Null text: one end id. Null ids: as any. Very long texts: in pieces. Repeated rows:
     each packed. Empty table: no rows. Other columns: not read."""

@@ -60,3 +60,14 @@ def test_stored(spark):
     assert not common._made
     with pytest.raises(Exception, match="(?i)exist|no such|not found"):
         df.count()
+
+
+def test_executors_give_memory_back(spark):
+    """Here the executor is the driver's JVM."""
+    memory = spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
+    held = spark.range(0, 300, 1, 4).selectExpr("repeat(cast(id as string), 1000000 / length(cast(id as string))) as x").persist()
+    held.count()
+    held.unpersist(blocking=True)
+    used = memory.totalMemory() - memory.freeMemory()
+    common.release_executors(spark)
+    assert memory.totalMemory() - memory.freeMemory() < used - (1 << 27)

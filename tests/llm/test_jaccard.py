@@ -1,10 +1,12 @@
 import collections
+import tracemalloc
 
 import numpy as np
 import pytest
 
 from lakeloom.llm import jaccard
 from lakeloom.llm.components import components
+from lakeloom.llm.stages import STAGES
 
 
 def grams(text):
@@ -96,3 +98,25 @@ def test_components(spark):
             root[a] = root[b] = min(root[a], root[b])
     got = {r.node: r.label for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == {x: r for x, r in root.items() if x in got} and {x for p in pairs if p[0] != p[1] for x in p} == set(got)
+
+
+def test_a_long_text_is_tried_in_pieces():
+    """Its paths are those of all nodes and tokens at once, in less than 16 MB."""
+    rng = np.random.default_rng(6)
+    tokens, nodes = jaccard.common.distinct(rng.integers(0, 2**64, 400000, dtype=np.uint64)), jaccard._SEEDS
+    tracemalloc.start()
+    which, keys = jaccard.taken(tokens, nodes)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    mix, often = jaccard.common.mix, jaccard._threshold(len(tokens))
+    w, t = np.nonzero((mix(nodes)[:, None] ^ tokens[None, :]) * (nodes | np.uint64(1))[:, None] >> np.uint64(32) < often)
+    assert sorted(zip(which.tolist(), keys.tolist(), strict=True)) == sorted(zip(w.tolist(), mix(nodes[w] ^ mix(tokens[t] + np.uint64(0x632BE59BD9B4E019))).tolist(), strict=True))
+    assert peak < 1 << 24 and not jaccard.taken(tokens, nodes[:0])[1].size
+
+
+def test_executors_are_released_between_steps(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(jaccard.common, "release_executors", calls.append)
+    docs = spark.createDataFrame([(1, "a b c d e f g"), (2, "a b c d e f g"), (3, "b")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in dict(STAGES)["near_copies"](spark, docs, "").collect()) == [1, 3]
+    assert len(calls) >= 3
